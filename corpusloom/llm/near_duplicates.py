@@ -3,12 +3,12 @@
 A record is the lower-cased run of its letters and digits; its grams are the distinct substrings of 8 characters.  Two
 records are copies when at least 60 % of the grams in either are in both.
 
-The grams are hashed into ``SLOTS`` classes and the least hash of each class is kept: a signature of 64 grams, two
-records' signatures agreeing in a slot with a probability of their similarity.  Every (slot, gram) has an inverted list.
-Copies must share T of 64 lists; as in DivideSkip a record's lists are divided into short and long ones.  The
-``SHORT`` shortest, by a counting filter over all records, are merged: their postings are brought together by list, and
-each posting carries the record's signature (4 bits a slot), in which the remaining, long lists are probed.  Pairs that
-reach T in total are kept, and an exact count of their grams decides.
+The grams are hashed into classes and the least hash of each class is kept: two records agree in a class with a
+probability of their similarity.  Every (one of ``SLOTS`` classes, least gram) has an inverted list.  Copies must occur
+together in T lists; as in DivideSkip a record's lists are divided into short and long ones.  The ``SHORT`` shortest, by
+a counting filter over all records, are merged: their postings are brought together by list, and each posting carries
+a sketch of all the record's lists (``FINE`` classes, 3 bits each), in which the remaining, long lists are probed at
+once.  Pairs that reach T in total are kept, and an exact count of their grams decides.
 
 T leaves three standard deviations below the threshold, and a list that one of the records has among its short ones is
 found only if the other one has too, so a pair can be missed: measured recall against brute force is in the README.
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import cut, width
 
-GRAM, SLOTS, SHORT = 8, 64, 18
-#: Agreeing slots (of 64, on 4 bits) a candidate pair must reach: 64 * (0.6 + 0.4 / 16) less three deviations of 3.9.
-REACH = 28
+GRAM, SLOTS, SHORT = 8, 64, 16
+#: Classes and bits of the sketch; a candidate pair must agree in 128 * (0.6 + 0.4 / 8) less three deviations of 5.4.
+FINE, PLANES, REACH = 128, 3, 67
+SKETCH_WORDS = FINE * PLANES // 64
 #: The counting filter: 2^24 counters of 16 bits, a fixed 32 MB; collisions only make a list look longer to everyone.
 FILTER_BITS, FILTER_BLOCKS = 24, 256
 #: Longest list (or block of one) that is compared at once.
@@ -70,12 +71,13 @@ def gram_hashes(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature(code: np.ndarray) -> np.ndarray:
-    """Least hash of each slot, 32 bits; ``NONE`` for an empty slot."""
+def signature(code: np.ndarray) -> bytes:
+    """The lists' grams (``SLOTS`` least hashes of 32 bits, ``NONE`` for an empty class) and the sketch behind them."""
     hashed = gram_hashes(code)
-    out = np.full(SLOTS, NONE, np.uint32)
-    np.minimum.at(out, (hashed >> np.uint64(58)).astype(np.intp), (hashed & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-    return out
+    fine = np.full(FINE, NONE, np.uint32)
+    np.minimum.at(fine, (hashed >> np.uint64(57)).astype(np.intp), (hashed & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    planes = [np.packbits((fine >> np.uint32(k)).astype(np.uint8) & 1) for k in range(1, PLANES + 1)]
+    return np.minimum(fine[::2], fine[1::2]).tobytes() + np.concatenate(planes).tobytes()
 
 
 def _lists(sig: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def fingerprints(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(code.tobytes())
                 ids.append(i)
                 classes.append(digest)
-                sigs.append(None if digest in seen else signature(code).tobytes())
+                sigs.append(None if digest in seen else signature(code))
                 seen.add(digest)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "copy_class", "signature"])
 
@@ -113,7 +115,7 @@ def fingerprints(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SLOTS)
+    return np.frombuffer(b"".join(x[: 4 * SLOTS] for x in column.to_pylist()), np.uint32).reshape(-1, SLOTS)
 
 
 def list_lengths(prints: DataFrame) -> np.ndarray:
@@ -150,7 +152,7 @@ def list_lengths(prints: DataFrame) -> np.ndarray:
 
 
 def _postings(prints: DataFrame, lengths) -> DataFrame:
-    """One row per record and short list: list, block pair, side, class and the signature on 4 bits a slot."""
+    """One row per record and short list: list, block pair, side, class and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = lengths.value
@@ -165,10 +167,8 @@ def _postings(prints: DataFrame, lengths) -> DataFrame:
                 order = np.lexsort((lists * np.uint64(0xD6E8FEB86659FD93), n), axis=1)[:, :SHORT]
                 n, chosen = np.take_along_axis(n, order, 1), np.take_along_axis(lists, order, 1)
                 row, col = np.nonzero(n < 1 << 40)
-                low = (sig & np.uint32(15)).astype(np.uint8)
-                packed = (low[:, ::2] << 4 | low[:, 1::2]).tobytes()
                 names = batch.column(0).to_pylist()
-                half = SLOTS // 2
+                packed = [x[4 * SLOTS :] for x in batch.column(1).to_pylist()]
                 name, part, side, ids, sketches = [], [], [], [], []
                 for r, l, k in zip(row.tolist(), chosen[row, col].astype(np.int64).tolist(), n[row, col].tolist()):
                     blocks = -(-k // LIST_BLOCK)
@@ -178,7 +178,7 @@ def _postings(prints: DataFrame, lengths) -> DataFrame:
                         part.append(min(mine, other) * blocks + max(mine, other))
                         side.append(mine > other)
                         ids.append(names[r])
-                        sketches.append(packed[r * half : (r + 1) * half])
+                        sketches.append(packed[r])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name, pa.int64()), pa.array(part, pa.int64()), pa.array(side, pa.bool_()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())],
                     names=["list", "part", "side", "copy_class", "sketch"],
@@ -188,15 +188,13 @@ def _postings(prints: DataFrame, lengths) -> DataFrame:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes within a list (sorted input) whose signatures agree in ``REACH`` slots."""
+    """Pairs of classes within a list (sorted input) whose sketches agree in ``REACH`` classes."""
     rest: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         name, part, side = (t.column(k).to_numpy() for k in range(3))
         ids = np.array(t.column(3).to_pylist(), object)
-        packed = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
-        sketch = np.empty((len(ids), SLOTS), np.uint8)
-        sketch[:, ::2], sketch[:, 1::2] = packed >> 4, packed & 15
+        sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(ids), PLANES, SKETCH_WORDS // PLANES)
         heads = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
         out_a: list[bytes] = []
         out_b: list[bytes] = []
@@ -209,7 +207,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, i in enumerate(first.tolist()):
                 against = first[k + 1 :] if within else other
                 if len(against):
-                    hits = against[(sketch[against] == sketch[i]).sum(1, dtype=np.uint8) >= REACH]
+                    apart = np.bitwise_or.reduce(sketch[against] ^ sketch[i], axis=1)
+                    hits = against[np.bitwise_count(apart).sum(1) <= FINE - REACH]
                     for j in hits.tolist():
                         if ids[i] != ids[j]:
                             out_a.append(min(ids[i], ids[j]))
