@@ -86,7 +86,11 @@ def number_and_nest(found: Column) -> Column:
 
 def prune(found: Column) -> Column:
     """Without the types that were detected implausibly often."""
-    noisy = [F.when(F.size(F.filter(found, lambda y, t=t: y["type"] == t)) > most, F.lit(t)) for t, most in PLAUSIBLE.items()]
+
+    def of_type(kind: str) -> Column:
+        return F.filter(found, lambda y: y["type"] == kind)
+
+    noisy = [F.when(F.size(of_type(t)) > most, F.lit(t)) for t, most in PLAUSIBLE.items()]
     names = F.array_compact(F.array(*noisy))
     return F.when(F.size(names) > 0, F.filter(found, lambda x: ~F.array_contains(names, x["type"]))).otherwise(found)
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import words
 
@@ -55,16 +58,23 @@ def with_neighbours(chunks: DataFrame, wanted: DataFrame, n: int = 1) -> DataFra
 
 def hash_embedding(text: Column, size: int = DIMENSION) -> Column:
     """Deterministic feature-hashing embedding of length 1: a word adds plus or minus one at a place its hash names.
-    Null for null; zeros for a text without words."""
-    marks = F.transform(words(text), lambda w: F.xxhash64(w))
-    places = F.transform(marks, lambda h: F.struct(F.pmod(h, F.lit(size)).cast("int").alias("p"), F.when(F.shiftright(h, 40) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("v")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(places, lambda p: p["p"] == i), F.lit(0.0), lambda s, p: s + p["v"]))
-    return F.when(text.isNotNull(), unit(raw))
-
-
-def unit(v: Column) -> Column:
-    """Scaled to length 1 as floats; zeros stay zeros."""
-    return F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(F.lit(0.0)).cast("float"))
+    Words are found and hashed natively, Arrow batches of hashes are summed.  Null for null; zeros for a text without
+    words."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def summed(marks: pd.Series) -> pd.Series:
+        out = []
+        for hashes in marks:
+            if hashes is None:
+                out.append(None)
+                continue
+            h = np.asarray(hashes, np.int64)
+            v = np.bincount(h % size, weights=1.0 - 2.0 * ((h >> 40) & 1), minlength=size)
+            length = np.linalg.norm(v)
+            out.append((v / length if length > 0 else v).astype(np.float32))
+        return pd.Series(out)
+
+    return summed(F.transform(words(text), lambda w: F.xxhash64(w)))
 
 
 def embed_with_model(df: DataFrame, model_path: str, encode, text: str = "content", batch_size: int = 8) -> DataFrame:
