@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import cut, width
 
-GRAM, SLOTS, SHORT = 8, 64, 16
+GRAM, SLOTS, SHORT = 8, 64, 24
 #: Classes and bits of the sketch; a candidate pair must agree in 128 * (0.6 + 0.4 / 8) less three deviations of 5.4.
 FINE, PLANES, REACH = 128, 3, 67
 SKETCH_WORDS = FINE * PLANES // 64
