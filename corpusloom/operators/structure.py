@@ -98,7 +98,7 @@ def prune(found: Column) -> Column:
 def detect(df: DataFrame, text: str = "text", name: str = "boundaries", loader: str | None = None) -> DataFrame:
     """``df`` with the array ``name`` of boundaries.  ``loader``: an array of boundaries that the file's reader knows;
     their types are not detected again, and the two are merged."""
-    skip = F.transform(F.col(loader), lambda b: b["type"]) if loader else None
+    skip = F.coalesce(F.transform(F.col(loader), lambda b: b["type"]), F.array().cast("array<string>")) if loader else None
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda raw, i: F.struct(strip(raw).alias("line"), i.alias("i")))
     likely = F.filter(lines, lambda s: s["line"].rlike(LIKELY))
     marked = F.filter(F.transform(likely, lambda s: F.struct(classify(s["line"], skip).alias("m"), s["i"].alias("i"))), lambda s: s["m"].isNotNull())
