@@ -25,7 +25,7 @@ def fuzzy_scores(chunks: DataFrame, query: str) -> DataFrame:
     n = sum(tokens.values())
     spark = chunks.sparkSession
     asked = spark.createDataFrame([(t, c) for t, c in tokens.items()] or [("", 0)], "asked string, times int").where("times > 0")
-    held = chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
+    held = chunks.select("chunk_id", F.explode_outer(F.array_distinct(words(F.col("content")))).alias("word")).where("word is not null")
     vocabulary = held.select("word").distinct()
     near = F.abs(F.length("asked") - F.length("word")) <= F.greatest(F.length("asked"), F.length("word")) * F.lit(GATE)
     pairs = vocabulary.join(F.broadcast(asked), near)  # the query's tokens: at most 10,000 characters by validation

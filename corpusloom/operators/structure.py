@@ -65,9 +65,10 @@ def line_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return placed.withColumn("line", strip(F.col("raw"))).where("line <> ''").drop("raw")
 
 
-def number_and_nest(found: Column) -> Column:
-    """Boundaries (type, level, title, start_offset) in order, with ord, ``type:n`` identifiers and parents."""
-    named = F.transform(
+def number(found: Column) -> Column:
+    """Boundaries (type, level, title, start_offset) in order, with ord and ``type:n`` identifiers.  ``found`` must be a
+    plain column: it is read again for every element."""
+    return F.transform(
         found,
         lambda x, i: F.struct(
             i.alias("ord"),
@@ -78,6 +79,10 @@ def number_and_nest(found: Column) -> Column:
             x["start_offset"].alias("start_offset"),
         ),
     )
+
+
+def nest(named: Column) -> Column:
+    """Numbered boundaries with parents: the last one before that has a lower level.  ``named`` must be a plain column."""
     return F.transform(
         named,
         lambda x, i: x.withField("parent_id", F.try_element_at(F.filter(F.slice(named, 1, i), lambda y: y["level"] < x["level"]), F.lit(-1))["boundary_id"]),
@@ -104,9 +109,11 @@ def detect(df: DataFrame, text: str = "text", name: str = "boundaries", loader:
     marked = F.filter(F.transform(likely, lambda s: F.struct(classify(s["line"], skip).alias("m"), s["i"].alias("i"))), lambda s: s["m"].isNotNull())
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.length(F.call_function("substring_index", F.col(text), F.lit("\n"), i)) + 1)
     found = F.transform(F.col("__marked"), lambda s: F.struct(s["m"]["type"].alias("type"), s["m"]["level"].alias("level"), s["m"]["title"].alias("title"), start(s["i"]).cast("int").alias("start_offset")))
-    out = df.withColumn("__marked", marked).withColumn("__found", found).withColumn("__kept", prune(F.col("__found"))).withColumn("__named", number_and_nest(F.col("__kept")))
-    result = merge(F.col(loader), F.col("__named")) if loader else F.col("__named")
-    return out.withColumn(name, result.cast(f"array<{BOUNDARY}>")).drop("__marked", "__found", "__kept", "__named")
+    out = df
+    for step, made in (("__marked", marked), ("__found", found), ("__kept", prune(F.col("__found"))), ("__named", number(F.col("__kept"))), ("__nested", nest(F.col("__named")))):
+        out = out.withColumn(step, made)
+    result = merge(F.col(loader), F.col("__nested")) if loader else F.col("__nested")
+    return out.withColumn(name, result.cast(f"array<{BOUNDARY}>")).drop("__marked", "__found", "__kept", "__named", "__nested")
 
 
 def merge(loader: Column, detected: Column) -> Column:
@@ -127,8 +134,9 @@ def merge(loader: Column, detected: Column) -> Column:
 
 
 def boundary_rows(df: DataFrame, keys: list[str], name: str = "boundaries") -> DataFrame:
-    """One row per boundary."""
-    return df.select(*keys, F.explode(name).alias("b")).select(*keys, "b.*")
+    """One row per boundary.  An outer explode: for a plain one the optimizer would infer a filter on the array and push
+    it below the projections that build it, where the whole detection is evaluated again for every reference."""
+    return df.select(*keys, F.explode_outer(name).alias("b")).where("b is not null").select(*keys, "b.*")
 
 
 def regions(df: DataFrame, keys: list[str], text: str = "text", name: str = "boundaries") -> DataFrame:

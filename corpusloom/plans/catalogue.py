@@ -101,7 +101,7 @@ def chunks_in_boundary(spark, d):
 
 
 def sentence_units(spark, d):
-    out = corpus.documents(spark, d).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("n", "s"))
+    out = corpus.documents(spark, d).select("doc_id", F.posexplode_outer(tx.sentences(F.col("text"))).alias("n", "s")).where("s is not null")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n"), F.length("s").cast("bigint").alias("chars"), F.md5("s").alias("digest"))
 
 
