@@ -38,6 +38,7 @@ TITLES = (
 NUMBERED = "no nr nos num núm art arts sec secs fig figs vol vols ch chap cap p pp pg pág págs ág s abs abb tab bd kap ziff n nº rt ig ol bs bb hap ap item eq ст рис стр гл п табл ис тр № ص م".split()
 #: Close a sentence only before a capital, a quotation or the end.
 ENDING = "etc usw inc ltd corp co jr bros uhr a.m p.m am pm u.s u.n u.k e.v jh jhd др пр п д ч мин сек руб тыс млн кг км м h kg km cm mm min max dept est".split()
+FIRMS = {"inc", "ltd", "corp", "co"}
 ORDINAL_LEADS = set("am der die das dem den des vom zum im ab bis seit zur".split())
 
 O, W, P, T, Q, C, D, E, X, Z = range(10)  # other, space, paragraph, stop, open, close, close+go on, close+end, close+end if led in, Thai space
@@ -266,7 +267,7 @@ def _full_stop(text: str, at: int, nx: int, glued: bool, nk: int, kind: np.ndarr
             return not (lead and lead[-1].lower() in ORDINAL_LEADS)
         return True
     if len(word) == 1 and kind[at - 1] & LETTER:
-        spaced = head >= 2 and text[head - 1] in "  \n" and text[head - 2] == "."
+        spaced = head >= 3 and text[head - 1] in "  \n" and text[head - 2] == "." and not (head >= 4 and kind[head - 4] & LETTER) and not kind[at - 1] & UPPER
         if fold in "mмд" and (dotted or spaced) and _letter_before(text, head, dotted) in "apтtu":
             return starts and not nk & LOWER  # a.m., p. m., т. д.
         if fold == "п" and (dotted or spaced) and _letter_before(text, head, dotted) == "т":
@@ -282,6 +283,8 @@ def _full_stop(text: str, at: int, nx: int, glued: bool, nk: int, kind: np.ndarr
         return False
     if fold in TITLE_SET:
         return False
+    if fold in FIRMS and word.isupper():
+        return False  # in capitals throughout, what follows tells nothing
     if fold in ENDING_SET:
         return starts
     return True
