@@ -43,3 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Number of tasks that a repartition aims at: what the session configures for shuffles, two per core at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def text_slices(batch, column: int, rows: int = 1000, size: int = 4_000_000):
+    """Slices of an Arrow batch of at most ``rows`` rows and, unless a single row is larger, ``size`` bytes of text."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for k, n in enumerate(lengths):
+        if k > start and (held + n > size or k - start >= rows):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start, len(lengths) - start)
