@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import text_slices
+
 # Fixed word lists, lower case, without the full stop.
 #: Never close a sentence.
 TITLES = (
@@ -44,6 +46,8 @@ ORDINAL_LEADS = set("am der die das dem den des vom zum im ab bis seit zur".spli
 O, W, P, T, Q, C, D, E, X, Z = range(10)  # other, space, paragraph, stop, open, close, close+go on, close+end, close+end if led in, Thai space
 START, BODY, LEAD, INNER = range(4)
 STATES, BLOCK = 4, 512
+#: Texts longer than this are taken in sections between blank lines (where a sentence ends in any case); memory only.
+SECTION = 1_000_000
 
 
 def _machine() -> tuple[np.ndarray, np.ndarray]:
@@ -300,6 +304,25 @@ def sentence_ends(texts: list[str | None]) -> list[list[int]]:
     known = [t or "" for t in texts]
     if not known:
         return []
+    if any(len(t) > SECTION for t in known):
+        return [_long(t) if len(t) > SECTION else sentence_ends([t])[0] for t in known]
+    return _ends(known)
+
+
+def _long(text: str) -> list[int]:
+    out: list[int] = []
+    start = 0
+    while start < len(text):
+        stop = text.find("\n\n", start + SECTION - 1)
+        stop = len(text) if stop < 0 else stop
+        out += [start + e for e in _ends([text[start:stop]])[0]]
+        start = stop
+        while start < len(text) and text[start].isspace():
+            start += 1
+    return out
+
+
+def _ends(known: list[str]) -> list[list[int]]:
     stream, starts, solid = symbols(known)
     at = scan(stream)
     ends = solid[at] + 1
@@ -318,8 +341,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", with_text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in text_slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 rows: list[int] = []
                 ords: list[int] = []

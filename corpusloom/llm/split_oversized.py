@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import text_slices
+
 #: Width in characters of the blocks by which boundaries find the items they lie in.
 BLOCK = 4096
 SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -110,8 +112,7 @@ def split_oversized(chunks: DataFrame, boundaries: DataFrame, options: DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in text_slices(whole, 1):
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 sizes, laps = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
                 out: list[tuple] = []

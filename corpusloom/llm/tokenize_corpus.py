@@ -18,12 +18,15 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import text_slices
+
 #: Public split pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEPTH = 48
@@ -158,6 +161,19 @@ class Encoder:
             self.words[w] = self.parts[pieces[k]] if j == k + 1 else b"".join(map(self.parts.__getitem__, pieces[k:j]))
             k = j
 
+    def _long(self, text: str) -> bytes:
+        """A text too long for its words to be held at once."""
+        words = (m.group() for m in self.split.finditer(text))
+        out = []
+        while run := list(islice(words, 200_000)):
+            if new := set(run).difference(self.words):
+                self.learn(sorted(new))
+            out.append(b"".join([self.words[w] for w in run]))
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+                self.parts.clear()
+        return b"".join(out)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
@@ -167,7 +183,11 @@ class Encoder:
                 self.words.clear()
                 self.parts.clear()
             taken, chars = [], 0
-            while k < len(texts) and chars < SLICE_CHARS:
+            if len(texts[k] or "") > SLICE_CHARS:
+                out.append(self._long(texts[k]))
+                k += 1
+                continue
+            while k < len(texts) and chars < SLICE_CHARS and len(texts[k] or "") <= SLICE_CHARS:
                 taken.append(self.split.findall(texts[k] or ""))
                 chars += len(texts[k] or "")
                 k += 1
@@ -196,8 +216,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in text_slices(whole, 1):
                 coded = enc.encode(batch.column(1).to_pylist())
                 ends = np.zeros(len(coded) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in coded], out=ends[1:])

@@ -125,6 +125,23 @@ def test_batching_changes_nothing():
     assert sentences.sentence_ends(texts) == [sentences.sentence_ends([t])[0] for t in texts]
 
 
+def test_long_texts_go_in_sections(monkeypatch):
+    text = "One two. Three four!\n\n\n  Five. Six" * 40
+    whole = sentences.sentence_ends([text])[0]
+    monkeypatch.setattr(sentences, "SECTION", 50)
+    assert sentences.sentence_ends([text, "Go on. B", None]) == [whole, [6, 8], []]
+
+
+@needs_vocabulary
+def test_long_texts_are_encoded_in_runs(monkeypatch):
+    encoder = tokenize_corpus.encoder(VOCABULARY)
+    texts = ["short one", "a longer text, with words " * 9, None]
+    want = encoder.encode(texts)
+    monkeypatch.setattr(tokenize_corpus, "SLICE_CHARS", 20)
+    monkeypatch.setattr(tokenize_corpus, "CACHE_WORDS", 2)
+    assert encoder.encode(texts) == want
+
+
 MARKED = [
     ("# Title\n\nText with **bold** and `code`.", ["markdown"], "# Title\n\nText with bold and code."),
     ("Head\n====\n\n- a **b**\n- c", ["markdown"], "# Head\n\n- a b\n- c"),
