@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -77,20 +78,36 @@ def hash_embedding(text: Column, size: int = DIMENSION) -> Column:
     return summed(F.transform(words(text), lambda w: F.xxhash64(w)))
 
 
-def embed_with_model(df: DataFrame, model_path: str, encode, text: str = "content", batch_size: int = 8) -> DataFrame:
+def onnx_providers(available: list[str], forced: str | None = None) -> list[str]:
+    """Execution providers in order: the forced device (``cpu``, ``coreml``, ``cuda``; default from ``ONNX_PROVIDER``),
+    else the best of those available, with the CPU behind it."""
+    names = {"cuda": "CUDAExecutionProvider", "coreml": "CoreMLExecutionProvider", "cpu": "CPUExecutionProvider"}
+    wish = (forced or os.environ.get("ONNX_PROVIDER", "")).strip().lower()
+    first = names[wish] if wish in names else next((p for p in names.values() if p in available), names["cpu"])
+    return [first] if first == names["cpu"] else [first, names["cpu"]]
+
+
+def default_batch_size(provider: str) -> int:
+    """Texts per model call (fixed values)."""
+    return {"CUDAExecutionProvider": 128, "CoreMLExecutionProvider": 64}.get(provider, 8)
+
+
+def embed_with_model(df: DataFrame, model_path: str, encode, text: str = "content", batch_size: int | None = None) -> DataFrame:
     """``df`` with ``embedding`` from an ONNX model; ``encode(texts) -> dict of input arrays`` is the caller's tokenizer.
-    The session is opened once per Python worker."""
+    The session is opened once per Python worker, on the best device there."""
     schema = df.schema.simpleString()[7:-1] + ",embedding:array<float>"
 
     def run(batches):
         import onnxruntime
         import pyarrow as pa
 
-        session = onnxruntime.InferenceSession(model_path)
+        devices = onnx_providers(onnxruntime.get_available_providers())
+        session = onnxruntime.InferenceSession(model_path, providers=devices)
+        size = batch_size or default_batch_size(devices[0])
         for batch in batches:
             texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
-            for at in range(0, len(texts), batch_size):
-                out += [v.tolist() for v in session.run(None, encode(texts[at : at + batch_size]))[0]]
+            for at in range(0, len(texts), size):
+                out += [v.tolist() for v in session.run(None, encode(texts[at : at + size]))[0]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
     return df.mapInArrow(run, schema)

@@ -51,14 +51,16 @@ class Store:
             part.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(part, True)
 
     def save(self, documents: DataFrame, chunks: DataFrame, boundaries: DataFrame, vectors: DataFrame) -> None:
-        """Write all tables of the sources in ``documents`` (source, path, file_type), the manifest last."""
-        for source in [r["source"] for r in documents.select("source").distinct().toLocalIterator()]:
-            self.drop(source)
+        """Write all tables of the sources in ``documents`` (source, path, file_type), the manifest last.  Sources that
+        were indexed before are dropped first, since a table may have no new rows to overwrite theirs with."""
+        wanted = documents.select("source").distinct()
+        for row in wanted.join(self.read("manifest").select("source"), "source", "left_semi").collect():
+            self.drop(row["source"])
         self.write("chunks", chunks)
         self.write("boundaries", boundaries)
         self.write("vectors", vectors)
-        counts = self.read("chunks").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
-        bounded = self.read("boundaries").select("source").distinct().withColumn("has_boundaries", F.lit(True))
+        counts = self.read("chunks").join(wanted, "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
+        bounded = self.read("boundaries").join(wanted, "source", "left_semi").select("source").distinct().withColumn("has_boundaries", F.lit(True))
         entry = documents.select("source", "path", "file_type").join(counts, "source", "left").join(bounded, "source", "left")
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         self.write("manifest", entry.withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("bigint"))).withColumn("has_boundaries", F.coalesce("has_boundaries", F.lit(False))).withColumn("indexed_at", now))
