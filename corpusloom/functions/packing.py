@@ -20,6 +20,26 @@ def count_signs(text: str) -> int:
     return len(SIGNS.findall(text))
 
 
+class BpeCounter:
+    """Token counter over a rank file of a byte-pair vocabulary; loaded once per process, so cheap to send around."""
+
+    _loaded: dict[tuple[str, str], object] = {}
+
+    def __init__(self, ranks: str, pattern: str = r"'\p{L}+| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") -> None:
+        self.ranks, self.pattern = ranks, pattern
+
+    def __call__(self, text: str) -> int:
+        key = (self.ranks, self.pattern)
+        if key not in self._loaded:
+            import base64
+
+            import tiktoken
+
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(self.ranks, "rb"))}
+            self._loaded[key] = tiktoken.Encoding("counter", pat_str=self.pattern, mergeable_ranks=table, special_tokens={})
+        return len(self._loaded[key].encode_ordinary(text))
+
+
 def split_sentences(text: str) -> list[str]:
     """Row-local twin of the native sentence expression."""
     fences: list[str] = []

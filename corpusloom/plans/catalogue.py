@@ -69,6 +69,15 @@ def regions(spark, d):
     return out.select("doc_id", F.col("region").cast("bigint").alias("region"), "boundary_id", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("digest"))
 
 
+def merged_boundaries(spark, d):
+    """The table's pages, slides and sheets as a reader's own boundaries, merged with those found in the text."""
+    known = F.array_sort(F.collect_list(F.struct("ord", "type", "level", "boundary_id", "title", "start_offset", "parent_id")))
+    native = _bounds(spark, d).where("type in ('page', 'slide', 'sheet')").groupBy("doc_id").agg(known.alias("loader"))
+    docs = corpus.documents(spark, d).select("doc_id", "text").join(native, "doc_id", "left")
+    out = structure.boundary_rows(structure.detect(docs, loader="loader"), DOC)
+    return out.select("doc_id", "ord", "type", "level", "boundary_id", "title", "start_offset", "parent_id")
+
+
 def boundary_at_offset(spark, d):
     points = corpus.chunks(spark, d, ["chunk_id", "doc_id", "start_offset"]).select("doc_id", F.col("start_offset").alias("offset")).where("offset is not null").distinct()
     return structure.boundary_at(points, _bounds(spark, d), DOC).select("doc_id", F.col("offset").cast("bigint").alias("offset"), "boundary_id", "type")
@@ -264,7 +273,7 @@ def event_windows(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        line_offsets, classify_lines, boundary_levels, doc_boundaries, regions, boundary_at_offset, page_of_boundary, toc_counts, boundary_ancestors, ancestor_at_section,
+        line_offsets, classify_lines, boundary_levels, doc_boundaries, regions, merged_boundaries, boundary_at_offset, page_of_boundary, toc_counts, boundary_ancestors, ancestor_at_section,
         boundary_siblings, chunks_in_boundary, sentence_units, token_counts, doc_chunks, chunk_neighbours, context_snippets, content_by_boundary, content_by_pages,
         content_by_positions, content_by_title, title_match, knn, knn_one_source, knn_per_source, exact_search, fuzzy_search, token_search, hybrid_merge, hybrid_search,
         search_within_budget, expand_boundary, expand_siblings, markdown_rows, csv_rows, row_groups, read_truncated, source_names, list_sources, chunk_json, hash_embeddings, event_windows,

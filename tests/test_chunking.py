@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.packing import count_signs, pack, split_sentences, tail
+from corpusloom.functions.packing import BpeCounter, count_signs, pack, split_sentences, tail
 from corpusloom.operators.chunking import chunk_documents
 from corpusloom.schema import ChunkOptions
 
@@ -26,6 +26,19 @@ def test_native_and_row_local_sentences_agree(spark):
     assert spark.range(1).select(tx.sentences(F.lit(None).cast("string")).alias("s")).first()["s"] is None
 
 
+def test_bpe_counter(spark, tmp_path):
+    import base64
+    import pickle
+
+    ranks = tmp_path / "v.tiktoken"
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    ranks.write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate(tokens)))
+    count = pickle.loads(pickle.dumps(BpeCounter(str(ranks))))
+    assert count("abcab") == 2 and count("") == 0
+    rows = spark.createDataFrame([(1, "abc. Abab")], "doc_id int, text string")
+    assert chunk_documents(rows, count=BpeCounter(str(ranks))).first()["token_count"] == count("abc. Abab")
+
+
 def test_options():
     for bad, word in ((ChunkOptions(31), "at least 32"), (ChunkOptions(64, 64), "less than"), (ChunkOptions(64, 8, 63, 8), "max_chunk_size"), (ChunkOptions(64, 8, 64, 65), "min_chunk_size")):
         with pytest.raises(ValueError, match=word):
