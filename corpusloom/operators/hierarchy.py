@@ -19,14 +19,14 @@ DEPTH = 4
 
 def ancestors(boundaries: DataFrame, keys: list[str]) -> DataFrame:
     """Closure: key, boundary_id, ancestor_id, ancestor_level, depth (0: itself).  A chain ends where a parent is missing."""
-    nodes = boundaries.select(*keys, F.col("boundary_id").alias("ancestor_id"), F.col("level").alias("ancestor_level"), F.col("parent_id").alias("__up"))
-    step = nodes.select(*keys, F.col("ancestor_id").alias("boundary_id"), "ancestor_id", "ancestor_level", F.lit(0).alias("depth"), "__up")
-    out = step
-    for depth in range(1, DEPTH + 1):
-        children = step.where("__up is not null").select(*keys, "boundary_id", F.col("__up").alias("ancestor_id"))
-        step = children.join(nodes, [*keys, "ancestor_id"]).select(*keys, "boundary_id", "ancestor_id", "ancestor_level", F.lit(depth).alias("depth"), "__up")
-        out = out.unionByName(step)
-    return out.drop("__up")
+    chain = boundaries.select(*keys, "boundary_id", F.col("boundary_id").alias("__id0"), F.col("level").alias("__level0"), F.col("parent_id").alias("__up0"))
+    for d in range(1, DEPTH + 1):  # one look-up join a step, all of the same side, so that its exchange is reused
+        above = boundaries.select(*keys, F.col("boundary_id").alias(f"__id{d}"), F.col("level").alias(f"__level{d}"), F.col("parent_id").alias(f"__up{d}"))
+        chain = chain.withColumn(f"__id{d}", F.col(f"__up{d - 1}")).join(above, [*keys, f"__id{d}"], "left")
+    # A parent that has no row ends the chain: its level is null.
+    steps = F.array(*[F.struct(F.col(f"__id{d}").alias("id"), F.col(f"__level{d}").alias("level"), F.lit(d).alias("depth")) for d in range(DEPTH + 1)])
+    opened = chain.select(*keys, "boundary_id", F.explode(steps).alias("s")).where("s.level is not null")
+    return opened.select(*keys, "boundary_id", F.col("s.id").alias("ancestor_id"), F.col("s.level").alias("ancestor_level"), F.col("s.depth").alias("depth"))
 
 
 def ancestor_at_level(boundaries: DataFrame, keys: list[str], level: int) -> DataFrame:

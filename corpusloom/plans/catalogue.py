@@ -37,7 +37,7 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def _bounds(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.boundaries(spark, d).drop("source")
+    return corpus.boundaries(spark, d)
 
 
 def _detected(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,7 @@ def chunks(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "boundaries")
-    return _newest(df, ["doc_id", "boundary_id"], [c for c in df.columns if c != "indexed_at"])
+    return _newest(df, ["doc_id", "boundary_id"], [c for c in df.columns if c not in ("indexed_at", "source")])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
