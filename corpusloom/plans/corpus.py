@@ -13,11 +13,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null")
 
 
+#: Columns too wide to be sent around for the sake of a few repeated rows; most repeated keys that are broadcast instead.
+WIDE, FEW = {"content", "embedding"}, 200_000
+
+
 def _newest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per key, the latest; map-side combined, so repeated keys never meet in full in one task."""
+    """One row per key, the latest.
+
+    Narrow rows are combined on the map side.  Of wide rows only those with a repeated key are: the keys are counted
+    first, and if the repeated ones are few they are broadcast, so that all other rows stay where they are.
+    """
     rest = [c for c in columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.col("indexed_at")).alias("r")
-    return df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(best).select(*keys, "r.*")
+    known = df.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, *rest, "indexed_at")
+
+    def combined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("indexed_at")).alias("r")).select(*keys, "r.*")
+
+    if not WIDE & set(rest):
+        return combined(known)
+    repeated = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    if repeated.limit(FEW + 1).count() > FEW:
+        return combined(known)
+    again = F.broadcast(repeated)
+    return known.join(again, keys, "left_anti").select(*keys, *rest).unionByName(combined(known.join(again, keys, "left_semi")))
 
 
 def chunks(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
