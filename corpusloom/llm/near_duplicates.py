@@ -193,28 +193,34 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         name, part, side = (t.column(k).to_numpy() for k in range(3))
-        ids = np.array(t.column(3).to_pylist(), object)
-        sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(ids), PLANES, SKETCH_WORDS // PLANES)
+        ids = t.column(3).to_pylist()
+        raw = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(ids), SKETCH_WORDS)
+        words = [np.ascontiguousarray(raw[:, k]) for k in range(SKETCH_WORDS)]  # plane by plane, two words each
         heads = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
-        out_a: list[bytes] = []
-        out_b: list[bytes] = []
+        both: set[tuple[bytes, bytes]] = set()
+
+        def compare(a: int, b: int, c: int, d: int) -> None:
+            """Rows a to b against rows c to d; of rows against themselves each pair once."""
+            step = max(1, 65_536 // (d - c))
+            for at in range(a, b, step):
+                end, start = min(at + step, b), at if a == c else c
+                apart = 0
+                for half in (0, 1):
+                    differ = words[half][at:end, None] ^ words[half][start:d]
+                    for k in range(2 + half, SKETCH_WORDS, 2):
+                        differ |= words[k][at:end, None] ^ words[k][start:d]
+                    apart = apart + np.bitwise_count(differ)
+                close = apart <= FINE - REACH
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1) if a == c else close))):
+                    x, y = ids[at + i], ids[start + j]
+                    if x != y:
+                        both.add((x, y) if x < y else (y, x))
+
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(ids)]):
-            if b - a < 2:
-                continue
-            first = np.arange(a, b)[~side[a:b].astype(bool)]
-            other = np.arange(a, b)[side[a:b].astype(bool)]
-            within = not len(other)  # a block with itself: all its pairs; else pairs across the two blocks
-            for k, i in enumerate(first.tolist()):
-                against = first[k + 1 :] if within else other
-                if len(against):
-                    apart = np.bitwise_or.reduce(sketch[against] ^ sketch[i], axis=1)
-                    hits = against[np.bitwise_count(apart).sum(1) <= FINE - REACH]
-                    for j in hits.tolist():
-                        if ids[i] != ids[j]:
-                            out_a.append(min(ids[i], ids[j]))
-                            out_b.append(max(ids[i], ids[j]))
-        if out_a:
-            both = set(zip(out_a, out_b))
+            if b - a > 1:
+                middle = b - int(side[a:b].sum())  # sorted: the first block's rows, then the second's
+                compare(a, middle, a, middle) if middle == b else compare(a, middle, middle, b)
+        if both:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["class_a", "class_b"])
 
     for batch in batches:
@@ -266,7 +272,7 @@ def copy_links(df: DataFrame, key: str = "chunk_id", text: str = "content", leas
     merged = (
         _postings(prints, lengths)
         .repartition(width(spark), "list", "part")
-        .sortWithinPartitions("list", "part")
+        .sortWithinPartitions("list", "part", "side")
         .mapInArrow(_merge, "class_a binary, class_b binary")
     )
     candidates = cut(merged.distinct())
