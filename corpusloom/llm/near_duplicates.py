@@ -41,6 +41,8 @@ SKETCH_WORDS = FINE * PLANES // 64
 FILTER_BITS, FILTER_BLOCKS = 24, 256
 #: Longest list (or block of one) that is compared at once.
 LIST_BLOCK = 4096
+#: Most candidate pairs whose records' keys are broadcast to fetch the texts (some tens of MB).
+FEW = 200_000
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -152,7 +154,7 @@ def list_lengths(prints: DataFrame) -> np.ndarray:
 
 
 def _postings(prints: DataFrame, lengths) -> DataFrame:
-    """One row per record and short list: list, block pair, side, class and the sketch."""
+    """One row per record and short list: list, block pair, side, the class's name and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = lengths.value
@@ -172,7 +174,7 @@ def _postings(prints: DataFrame, lengths) -> DataFrame:
                 name, part, side, ids, sketches = [], [], [], [], []
                 for r, l, k in zip(row.tolist(), chosen[row, col].astype(np.int64).tolist(), n[row, col].tolist()):
                     blocks = -(-k // LIST_BLOCK)
-                    mine = int.from_bytes(names[r][:4], "little") % blocks
+                    mine = (names[r] & 0x7FFFFFFF) % blocks
                     for other in range(blocks):
                         name.append(l)
                         part.append(min(mine, other) * blocks + max(mine, other))
@@ -180,11 +182,11 @@ def _postings(prints: DataFrame, lengths) -> DataFrame:
                         ids.append(names[r])
                         sketches.append(packed[r])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name, pa.int64()), pa.array(part, pa.int64()), pa.array(side, pa.bool_()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())],
-                    names=["list", "part", "side", "copy_class", "sketch"],
+                    [pa.array(name, pa.int64()), pa.array(part, pa.int64()), pa.array(side, pa.bool_()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["list", "part", "side", "name", "sketch"],
                 )
 
-    return prints.where("signature is not null").select("copy_class", "signature").mapInArrow(run, "list bigint, part bigint, side boolean, copy_class binary, sketch binary")
+    return prints.where("signature is not null").select("name", "signature").mapInArrow(run, "list bigint, part bigint, side boolean, name bigint, sketch binary")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(ids), SKETCH_WORDS)
         words = [np.ascontiguousarray(raw[:, k]) for k in range(SKETCH_WORDS)]  # plane by plane, two words each
         heads = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
-        both: set[tuple[bytes, bytes]] = set()
+        both: set[tuple[int, int]] = set()
 
         def compare(a: int, b: int, c: int, d: int) -> None:
             """Rows a to b against rows c to d; of rows against themselves each pair once."""
@@ -221,7 +223,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 middle = b - int(side[a:b].sum())  # sorted: the first block's rows, then the second's
                 compare(a, middle, a, middle) if middle == b else compare(a, middle, middle, b)
         if both:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["class_a", "class_b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())], names=["name_a", "name_b"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -266,22 +268,26 @@ def _similar(threshold: float):
 def copy_links(df: DataFrame, key: str = "chunk_id", text: str = "content", least: int = 400, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(members: id, copy_class; links: class_a, class_b): classes of exact copies and the links between them."""
     spark = df.sparkSession
-    prints = cut(fingerprints(df, key, text, least))
-    members = prints.groupBy("id").agg(F.min("copy_class").alias("copy_class"))
+    found = cut(fingerprints(df, key, text, least))
+    # A short name travels with the postings.  Should two classes share one, both are looked up and the exact count tells.
+    prints = found.withColumn("name", F.xxhash64("copy_class"))
+    members = found.groupBy("id").agg(F.min("copy_class").alias("copy_class"))
     lengths = spark.sparkContext.broadcast(list_lengths(prints))  # a fixed 32 MB
     merged = (
         _postings(prints, lengths)
         .repartition(width(spark), "list", "part")
         .sortWithinPartitions("list", "part", "side")
-        .mapInArrow(_merge, "class_a binary, class_b binary")
+        .mapInArrow(_merge, "name_a bigint, name_b bigint")
     )
     candidates = cut(merged.distinct())
-    speakers = prints.groupBy("copy_class").agg(F.min("id").alias("id"))
-    ends = candidates.select(F.col("class_a").alias("copy_class")).union(candidates.select("class_b")).distinct()
+    ends = candidates.select(F.col("name_a").alias("name")).union(candidates.select("name_b")).distinct()
+    speakers = prints.groupBy("copy_class", "name").agg(F.min("id").alias("id")).join(ends, "name")
+    if candidates.limit(FEW + 1).count() <= FEW:
+        speakers = F.broadcast(speakers)  # checked: two rows at most per candidate; else all texts are sent around once
     texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") >= least)
-    needed = ends.join(speakers, "copy_class").join(texts, "id").groupBy("copy_class").agg(F.first("text").alias("text"))
-    left = candidates.join(needed.select(F.col("copy_class").alias("class_a"), F.col("text").alias("text_a")), "class_a")
-    both = left.join(needed.select(F.col("copy_class").alias("class_b"), F.col("text").alias("text_b")), "class_b")
+    needed = texts.join(speakers, "id").groupBy("copy_class", "name").agg(F.first("text").alias("text"))
+    left = candidates.join(needed.toDF("class_a", "name_a", "text_a"), "name_a")
+    both = left.join(needed.toDF("class_b", "name_b", "text_b"), "name_b")
     checked = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(_similar(threshold), "class_a binary, class_b binary")
     return members, checked
 

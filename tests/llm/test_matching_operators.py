@@ -104,6 +104,7 @@ def test_copy_pairs(spark, monkeypatch):
     groups = {r["chunk_id"]: r for r in nd.copy_groups(df).collect()}
     assert len(groups) == len({i for i, t in rows if i is not None and t and len(nd.normal_codes(t)) >= 400})
     assert nd.copy_pairs(df.limit(0)).count() == 0
+    monkeypatch.setattr(nd, "FEW", 0)  # texts by a shuffle instead of broadcast keys
     monkeypatch.setattr(nd, "LIST_BLOCK", 2)  # every list of three or more is cut into blocks
     assert {(r["chunk_id_a"], r["chunk_id_b"]) for r in nd.copy_pairs(df).collect()} == want
 
