@@ -12,6 +12,10 @@ A bucket with more than ``MEMBERS`` vectors is salted: its vectors are spread ov
 goes to each, so no group grows with the bucket and nothing is dropped.  Vectors with the same coordinates are one
 class; their members are written out at the end, at most k + 1 of a class per vector, smallest identifiers first.
 
+``neighbours`` finds what reaches a cosine.  The k most similar vectors at any distance are too far apart for hashing to
+tell them from the rest (in 64 dimensions a fifth neighbour's cosine is often under 0.6), so ``nearest`` compares the
+asked ids with all vectors.
+
 Defined cases: null, short, long, zero and non-finite vectors are not usable and left out; repeated rows count once
 (the latest); equal cosines rank by identifier; an empty table gives an empty result.
 """
@@ -35,6 +39,8 @@ SHARED, OCCUPANCY = 0.486, 1200
 MEMBERS, HOT_KEYS = 4096, 50_000
 #: Error allowed for single-byte coordinates when candidates are taken.
 SLACK = 0.02
+#: Rows of the blocks that :func:`nearest` compares at once, and queries in one matrix; digits that tell cosines apart.
+QUERY_BLOCK, STORED_BLOCK, QUERY_SLICE, DIGITS = 16_384, 8_192, 512, 12
 
 
 def usable_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", latest: str = "indexed_at", size: int = 64) -> DataFrame:
@@ -210,19 +216,90 @@ def _exact(size: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 64) -> DataFrame:
-    """Columns id, other, cosine, rank (1 = most similar): up to k most similar vectors of cosine ``least`` or more.
-
-    ``vectors`` has the columns id and v of :func:`usable_vectors`.
-    """
-    spark = vectors.sparkSession
+def _classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed: id, v, h1, h2; classes of equal vectors: h1, h2, class, firsts; reps: id, v of a class's smallest id)."""
     same = F.xxhash64("v")
     keyed = cut(vectors.select("id", "v", same.alias("h1"), F.hash("v").alias("h2")))
     # Classes of equal vectors: the smallest identifiers stand for a class.
     by_class = Window.partitionBy("h1", "h2").orderBy("id")
     heads = keyed.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1)
     classes = heads.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("firsts"))
-    reps = heads.where("place = 1").select("id", "v")
+    return keyed, classes, heads.where("place = 1").select("id", "v")
+
+
+def _members(own: DataFrame, classes: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of every row of ``own`` (id, class, firsts) from the cosines of classes."""
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("cosine"), "other_class"))).where(F.col("rank") <= k)
+    firsts = classes.select(F.col("class").alias("other_class"), "firsts")
+    opened = best.join(firsts, "other_class").groupBy("class").agg(F.flatten(F.collect_list(F.transform("firsts", lambda x: F.struct(-F.col("cosine"), x)))).alias("others"))
+    listed = own.join(opened, "class", "left")
+    mine = F.transform(F.filter("firsts", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("minus"), x.alias("other")))
+    return _rank_members(listed.select("id", mine.alias("mine"), "others"), k)
+
+
+def _best(near: np.ndarray, k: int) -> np.ndarray:
+    """Which of a row's cosines are its ``k`` largest; of equal ones the first columns."""
+    if near.shape[1] <= k:
+        return near > -2
+    floor = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
+    above, level = near > floor, near == floor
+    return (above | level & (np.cumsum(level, 1, dtype=np.int32) <= k - above.sum(1, keepdims=True))) & (near > -2)
+
+
+def _scan(size: int, k: int):
+    """Of a block of queries and a block of stored vectors the ``k`` best of every query, in double precision."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy()
+        unit = _units(t.select(["v"]).to_batches()[0], 0, size)
+        held, queries = ids[~asks], ids[asks]
+        matrix, sides = unit[~asks].T, unit[asks]
+        rows, columns, cosines = [], [], []
+        for at in range(0, len(queries) if len(held) else 0, QUERY_SLICE):
+            near = np.round(sides[at : at + QUERY_SLICE] @ matrix, DIGITS)
+            near[queries[at : at + QUERY_SLICE, None] == held[None, :]] = -2
+            i, j = np.nonzero(_best(near, k))
+            rows.append(queries[at + i])
+            columns.append(held[j])
+            cosines.append(near[i, j])
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"class": join(rows, pa.int64()), "other_class": join(columns, pa.int64()), "cosine": join(cosines, pa.float64())})
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, size: int = 64) -> DataFrame:
+    """Columns id, other, cosine, rank: the ``k`` most similar vectors, however far, of each id in ``queries``.
+
+    Every query is compared with every vector, block by block, so the result is exact and the work is their product.
+    """
+    keyed, classes, reps = _classes(vectors, k)
+    asked = keyed.join(queries.select("id").distinct(), "id", "left_semi")
+    own = cut(asked.join(classes, ["h1", "h2"]).select("id", "class", "firsts"))
+    sides = reps.join(own.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
+    down, across = (max(1, -(-df.count() // most)) for df, most in ((sides, QUERY_BLOCK), (reps, STORED_BLOCK)))
+
+    def cells(df: DataFrame, asks: bool) -> DataFrame:
+        """Copies of the rows in all cells of their block's row or column of the grid."""
+        mine = F.pmod(F.xxhash64("id"), F.lit(down if asks else across))
+        others = F.explode(F.sequence(F.lit(0), F.lit((across if asks else down) - 1)))
+        placed = df.select("id", "v", mine.alias("mine"), others.alias("turn"))
+        cell = F.col("mine") * across + F.col("turn") if asks else F.col("turn") * across + F.col("mine")
+        return placed.select(cell.alias("cell"), F.lit(asks).alias("asks"), "id", "v")
+
+    grid = cells(sides, True).union(cells(reps, False)).repartition(width(vectors.sparkSession), "cell")
+    scored = grid.groupBy("cell").applyInArrow(_scan(size, k), "class bigint, other_class bigint, cosine double")
+    return _members(own, classes, scored, k)
+
+
+def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 64) -> DataFrame:
+    """Columns id, other, cosine, rank (1 = most similar): up to k most similar vectors of cosine ``least`` or more.
+
+    ``vectors`` has the columns id and v of :func:`usable_vectors`.  For neighbours at any distance see :func:`nearest`.
+    """
+    spark = vectors.sparkSession
+    keyed, classes, reps = _classes(vectors, k)
     total = keyed.count()
     hasher = Hasher(size, total)
 
@@ -249,13 +326,8 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 6
         .where(F.col("cosine") >= least)
     )
     both = ranked.union(ranked.select("b", "a", "cosine")).toDF("class", "other_class", "cosine")
-    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("cosine"), "other_class"))).where(F.col("rank") <= k)
-    firsts = classes.select(F.col("class").alias("other_class"), "firsts")
-    opened = best.join(firsts, "other_class").groupBy("class").agg(F.flatten(F.collect_list(F.transform("firsts", lambda x: F.struct(-F.col("cosine"), x)))).alias("others"))
     own = keyed.join(classes, ["h1", "h2"]).select("id", "class", "firsts")
-    listed = own.join(opened, "class", "left")
-    mine = F.transform(F.filter("firsts", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("minus"), x.alias("other")))
-    return _rank_members(listed.select("id", mine.alias("mine"), "others"), k)
+    return _members(own, classes, both, k)
 
 
 def _rank_members(listed: DataFrame, k: int) -> DataFrame:

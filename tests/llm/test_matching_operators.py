@@ -61,6 +61,28 @@ def test_copies_and_hot_buckets(spark, monkeypatch):
     assert sv.neighbours(sv.usable_vectors(vectors(spark, []))).count() == 0
 
 
+def test_nearest_has_no_floor(spark, monkeypatch):
+    monkeypatch.setattr(sv, "STORED_BLOCK", 100)
+    monkeypatch.setattr(sv, "QUERY_BLOCK", 30)
+    points = crowds(5, 10, 4, 500)
+    rows = [(i, p, 1) for i, p in enumerate(points)] + [(1000 + i, points[40], 1) for i in range(3)]
+    usable = sv.usable_vectors(vectors(spark, rows))
+    ids = [i for i, _, _ in rows]
+    got = {}
+    for r in sv.nearest(usable, usable.select("id").where("id % 4 = 0")).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"], r["cosine"]))
+    unit = np.array([p for _, p, _ in rows], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert set(got) == {i for i in ids if i % 4 == 0}
+    for k, i in enumerate(ids):
+        if i in got:
+            cosine = np.round(unit @ unit[k], 9)
+            want = sorted((j for j in ids if j != i), key=lambda j: (-cosine[ids.index(j)], j))[:5]
+            assert [o for _, o, _ in sorted(got[i])] == want
+    assert sum(c < 0.6 for v in got.values() for _, _, c in v) > 100
+    assert sv.nearest(usable.limit(0), usable).count() == 0 and sv.nearest(usable, usable.limit(0)).count() == 0
+
+
 def test_probe_order():
     sets = sv.probes(3, 10)
     assert sets[0] == [0] and len({tuple(s) for s in sets}) == 10 and all(5 - p not in s for s in sets for p in s)
