@@ -5,8 +5,9 @@ projections on Gaussian directions, cut into cells of width ``CELL``; M grows wi
 vectors so that a bucket holds about ``OCCUPANCY`` background vectors at any size.  A vector is stored in its own
 bucket of every table and looks into that bucket and into the most promising perturbed ones, in the order of their
 estimated success (the expected squared distances of the sorted cell borders).  A bucket's vectors and visitors come
-together in one task, in single bytes per coordinate; what can reach the asked cosine is a candidate, the tables'
-candidates are merged, and the exact cosine of the full vectors ranks them, both directions of a pair counting.
+together in one task, with their full coordinates: of every bucket a visitor takes the k most similar by exact cosine,
+and the k best of all buckets are its neighbours, both directions of a pair counting.  The buckets are dealt to as many
+tasks as keep ``ENTRIES`` visits each, and a vector goes once to a task, whatever number of its buckets lie there.
 
 A bucket with more than ``MEMBERS`` vectors is salted: its vectors are spread over several groups and every visitor
 goes to each, so no group grows with the bucket and nothing is dropped.  Vectors with the same coordinates are one
@@ -37,8 +38,8 @@ TABLES, CELL, SEED = 6, 2.0, 20_011
 #: Chance that two unrelated vectors share a cell of one projection at this width; gives M from the wanted occupancy.
 SHARED, OCCUPANCY = 0.486, 1200
 MEMBERS, HOT_KEYS = 4096, 50_000
-#: Error allowed for single-byte coordinates when candidates are taken.
-SLACK = 0.02
+#: Visits dealt to one task; more than the error of a cosine of 64 coordinates in single precision (66 * 2^-24).
+ENTRIES, SLACK = 2_000_000, 1e-5
 #: Rows of the blocks that :func:`nearest` compares at once, and queries in one matrix; digits that tell cosines apart.
 QUERY_BLOCK, STORED_BLOCK, QUERY_SLICE, DIGITS = 16_384, 8_192, 512, 12
 
@@ -115,8 +116,11 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
-def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: dict[int, int]) -> DataFrame:
-    """Rows (bucket, salt, stored, id, q): vectors in their buckets and visitors, salted where the bucket is hot."""
+def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: dict[int, int], parts: int) -> DataFrame:
+    """Rows (part, id, visits, v): a vector and its groups, of those that are dealt to one task.
+
+    A group is a bucket or, where that is hot, one of its salts; the last bit of its number tells that the vector is stored there.
+    """
     hot_keys = np.array(sorted(hot), np.int64)
     hot_parts = np.array([hot[k] for k in hot_keys.tolist()], np.int64)
 
@@ -126,7 +130,6 @@ def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: dict[int, int])
                 batch = whole.slice(at, 4000)
                 ids, unit = batch.column(0).to_numpy(), _units(batch, 1, size)
                 home, visits = hasher.home(unit), hasher.visits(unit)
-                scaled = np.round(unit / np.abs(unit).max(1, keepdims=True) * 127).astype(np.int8)
                 n = len(ids)
                 name = np.concatenate([home.ravel(), visits.ravel()])
                 row = np.concatenate([np.repeat(np.arange(n), TABLES), np.repeat(np.arange(n), visits.shape[1] * visits.shape[2])])
@@ -134,84 +137,94 @@ def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: dict[int, int])
                 salt = np.zeros(len(name), np.int64)
                 if len(hot_keys):
                     where = np.minimum(np.searchsorted(hot_keys, name), len(hot_keys) - 1)
-                    parts = np.where(hot_keys[where] == name, hot_parts[where], 1)
-                    own = _spread(ids[row]) % parts
-                    copies = np.repeat(np.arange(len(name)), parts)
-                    turn = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    turns = np.where(hot_keys[where] == name, hot_parts[where], 1)
+                    own = _spread(ids[row]) % turns
+                    copies = np.repeat(np.arange(len(name)), turns)
+                    turn = np.arange(len(copies)) - np.repeat(np.cumsum(turns) - turns, turns)
                     stored = stored[copies] & (turn == own[copies])
                     name, row, salt = name[copies], row[copies], turn
-                bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(row), [None, pa.py_buffer(np.ascontiguousarray(scaled[row]))])
+                group = name.astype(np.uint64) + salt.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                group ^= group >> np.uint64(29)
+                group *= np.uint64(0xBF58476D1CE4E5B9)
+                group ^= group >> np.uint64(32)
+                target = ((group >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * n + row
+                group = (group & np.uint64(0xFFFFFFFFFFFFFFFE)) | stored.astype(np.uint64)
+                order = np.argsort(target, kind="stable")
+                target, group = target[order], np.ascontiguousarray(group[order])
+                heads = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+                offsets = (np.append(heads, len(group)) * 8).astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(group)])
+                of = target[heads] % n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name), pa.array(salt.astype(np.int32)), pa.array(stored), pa.array(ids[row]), bytes_.cast(pa.binary())], names=["bucket", "salt", "stored", "id", "q"]
+                    [pa.array((target[heads] // n).astype(np.int32)), pa.array(ids[of]), lists, batch.column(1).take(pa.array(of))], names=["part", "id", "visits", "v"]
                 )
 
-    return vectors.mapInArrow(run, "bucket bigint, salt int, stored boolean, id bigint, q binary")
+    return vectors.mapInArrow(run, f"part int, id bigint, visits binary, v {vectors.schema['v'].dataType.simpleString()}")
 
 
 def _candidates(size: int, k: int, least: float):
-    """Per bucket: for each visitor the best stored vectors that can reach the least cosine."""
+    """Of each group: for each visitor the ``k`` most similar stored vectors of the least cosine or more."""
 
-    def one(ids: np.ndarray, stored: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def one(ids: np.ndarray, stored: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of one group, by id."""
         held = np.flatnonzero(stored)
-        found_a, found_b = [], []
-        if len(held) and len(ids) > 1:
-            matrix = unit[held].T
-            for at in range(0, len(ids), 2048):
-                near = unit[at : at + 2048] @ matrix
-                near[ids[at : at + 2048, None] == ids[held][None, :]] = -2
-                if near.shape[1] > k:
-                    floor = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
-                    keep = near >= np.maximum(floor, least - SLACK)[:, None]
-                else:
-                    keep = near >= least - SLACK
-                i, j = np.nonzero(keep)
-                found_a.append(ids[at + i])
-                found_b.append(ids[held[j]])
-        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, salt, stored, ids = (t.column(c).to_numpy() for c in range(4))
-        heads = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])))
-        held = np.add.reduceat(stored.astype(np.int64), heads)
-        tails = np.append(heads[1:], len(ids))
-        raw = np.frombuffer(b"".join(t.column(4).to_pylist()), np.int8).reshape(-1, size)
-        firsts, seconds = [], []
-        for a, b in zip(heads[held > 0].tolist(), tails[held > 0].tolist()):
-            if b - a > 1:
-                unit = raw[a:b].astype(np.float32)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                x, y = one(ids[a:b], stored[a:b], unit)
-                firsts.append(x)
-                seconds.append(y)
-        if firsts:
-            x, y = np.concatenate(firsts), np.concatenate(seconds)
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if rest is not None:
-                t = pa.concat_tables([rest, t])
-            if not t.num_rows:
-                continue
-            bucket, salt = t.column(0).to_numpy(), t.column(1).to_numpy()
-            start = t.num_rows - int(((bucket == bucket[-1]) & (salt == salt[-1])).sum())
-            if start:
-                yield from groups(t.slice(0, start))
-            rest = t.slice(start)
-        if rest is not None:
-            yield from groups(rest)
+        place = np.cumsum(stored) - 1
+        matrix = unit[held].T
+        rough, rough_matrix = unit.astype(np.float32), matrix.astype(np.float32)
+        for at in range(0, len(ids), QUERY_SLICE):
+            near = rough[at : at + QUERY_SLICE] @ rough_matrix
+            self_ = np.flatnonzero(stored[at : at + QUERY_SLICE])
+            near[self_, place[at + self_]] = -2
+            rows = at + np.flatnonzero(near.max(1) >= least - SLACK)
+            if len(rows):
+                near = np.round(unit[rows] @ matrix, DIGITS)
+                self_ = np.flatnonzero(stored[rows])
+                near[self_, place[rows[self_]]] = -2
+                near[near < least] = -2
+                i, j = np.nonzero(_best(near, k))
+                yield ids[rows[i]], ids[held[j]], near[i, j]
 
-    return run
-
-
-def _exact(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, visits, counts, vectors = [], [], [], []
         for batch in batches:
-            cosine = (_units(batch, 2, size) * _units(batch, 3, size)).sum(1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["a", "b", "cosine"])
+            if batch.num_rows:
+                ids.append(batch.column(1).to_numpy().copy())
+                lists = batch.column(2).to_pylist()
+                counts.append(np.fromiter(map(len, lists), np.int64, len(lists)) // 8)
+                visits.append(np.frombuffer(b"".join(lists), np.uint64))
+                vectors.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).copy())
+        if not ids:
+            return
+        id_, v = np.concatenate(ids), np.concatenate(vectors)
+        del vectors
+        name, row = np.concatenate(visits), np.repeat(np.arange(len(id_)), np.concatenate(counts))
+        by_id = np.argsort(np.argsort(id_))
+        order = np.lexsort((by_id[row], name >> np.uint64(1)))
+        name, row = name[order], row[order]
+        group, stored = name >> np.uint64(1), (name & np.uint64(1)).astype(bool)
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        tails = np.append(heads[1:], len(group))
+        some = (np.add.reduceat(stored.astype(np.int64), heads) > 0) & (tails - heads > 1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            x, y, c = (np.concatenate(z) for z in zip(*found))
+            pair, at = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(c[at])], names=["a", "b", "cosine"])
+
+        for a, b in zip(heads[some].tolist(), tails[some].tolist()):
+            unit = v[row[a:b]].astype(np.float64)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            for x in one(id_[row[a:b]], stored[a:b], unit):
+                found.append(x)
+                held += len(x[0])
+            if held > ENTRIES:
+                yield out()
+                found.clear()
+                held = 0
+        if found:
+            yield out()
 
     return run
 
@@ -242,8 +255,11 @@ def _best(near: np.ndarray, k: int) -> np.ndarray:
     if near.shape[1] <= k:
         return near > -2
     floor = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
-    above, level = near > floor, near == floor
-    return (above | level & (np.cumsum(level, 1, dtype=np.int32) <= k - above.sum(1, keepdims=True))) & (near > -2)
+    keep = (near >= floor) & (near > -2)
+    if len(tied := np.flatnonzero(keep.sum(1) > k)):
+        above, level = near[tied] > floor[tied], near[tied] == floor[tied]
+        keep[tied] = above | level & (np.cumsum(level, 1, dtype=np.int32) <= k - above.sum(1, keepdims=True))
+    return keep
 
 
 def _scan(size: int, k: int):
@@ -310,22 +326,18 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 6
 
     members = max(MEMBERS, math.ceil(TABLES * total / HOT_KEYS))  # so at most HOT_KEYS buckets are hot
     sizes = reps.select("v").mapInArrow(home_names, "bucket bigint").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > members)
-    hot = {r["bucket"]: -(-r["n"] // members) for r in sizes.collect()}
+    crowded = sizes.collect()
+    hot = {r["bucket"]: -(-r["n"] // members) for r in crowded}
+    visits = TABLES * total * (len(hasher.probes) + 1) + sum(r["n"] * hot[r["bucket"]] for r in crowded)
+    parts = max(width(spark), -(-visits // ENTRIES))
     pairs = (
-        _entries(reps, hasher, size, hot)
-        .repartition(width(spark), "bucket", "salt")
-        .sortWithinPartitions("bucket", "salt")
-        .mapInArrow(_candidates(size, 3 * k, least), "a bigint, b bigint")
-        .distinct()
-    )
-    ranked = (
-        pairs.join(reps.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
-        .join(reps.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-        .select("a", "b", "va", "vb")
-        .mapInArrow(_exact(size), "a bigint, b bigint, cosine double")
-        .where(F.col("cosine") >= least)
+        _entries(reps, hasher, size, hot, parts)
+        .repartitionById(parts, F.col("part"))
+        .mapInArrow(_candidates(size, k, least), "a bigint, b bigint, cosine double")
+        .groupBy("a", "b")
+        .agg(F.max("cosine").alias("cosine"))
     )
-    both = ranked.union(ranked.select("b", "a", "cosine")).toDF("class", "other_class", "cosine")
+    both = pairs.union(pairs.select("b", "a", "cosine")).toDF("class", "other_class", "cosine")
     own = keyed.join(classes, ["h1", "h2"]).select("id", "class", "firsts")
     return _members(own, classes, both, k)
 

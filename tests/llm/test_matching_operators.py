@@ -83,6 +83,20 @@ def test_nearest_has_no_floor(spark, monkeypatch):
     assert sv.nearest(usable.limit(0), usable).count() == 0 and sv.nearest(usable, usable.limit(0)).count() == 0
 
 
+def test_crowd_of_almost_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    points = (rng.standard_normal(64) + 0.01 * rng.standard_normal((1500, 64))).astype(np.float32)  # mean cosine 0.9999
+    points = np.concatenate([points, (rng.standard_normal(64) + 0.001 * rng.standard_normal((300, 64))).astype(np.float32)])  # 0.999999
+    near = sv.neighbours(sv.usable_vectors(vectors(spark, [(i, p.tolist(), 1) for i, p in enumerate(points)])))
+    got = {(r["id"], r["other"]) for r in near.collect()}
+    unit = points.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -2)
+    want = {(i, j) for i in range(len(points)) for j in np.argsort(-cosine[i])[:5].tolist()}
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+
+
 def test_probe_order():
     sets = sv.probes(3, 10)
     assert sets[0] == [0] and len({tuple(s) for s in sets}) == 10 and all(5 - p not in s for s in sets for p in s)
