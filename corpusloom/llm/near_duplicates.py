@@ -5,13 +5,15 @@ records are copies when at least 60 % of the grams in either are in both.
 
 The grams are hashed into classes and the least hash of each class is kept: two records agree in a class with a
 probability of their similarity.  Every (one of ``SLOTS`` classes, least gram) has an inverted list.  Copies must occur
-together in T lists; as in DivideSkip a record's lists are divided into short and long ones.  The ``SHORT`` shortest, by
-a counting filter over all records, are merged: their postings are brought together by list, and each posting carries
-a sketch of all the record's lists (``FINE`` classes, 3 bits each), in which the remaining, long lists are probed at
-once.  Pairs that reach T in total are kept, and an exact count of their grams decides.
+together in T lists; as in DivideSkip a record's lists are divided into short and long ones.  The ``SHORT`` = SLOTS - T + 1
+shortest, in one order by a counting filter over all records, are merged, so that two records with T common lists meet in
+one that is short for both; lists that no other record is in count among them and need no posting.  The postings are
+brought together by list, and each carries a sketch of all the record's lists (``FINE`` classes, 3 bits each), in which
+the remaining, long lists are probed at once.  Pairs that reach T in total are kept, and an exact count of their grams
+decides.
 
-T leaves three standard deviations below the threshold, and a list that one of the records has among its short ones is
-found only if the other one has too, so a pair can be missed: measured recall against brute force is in the README.
+T, for the lists and for the sketch, leaves three standard deviations below the threshold, so a pair can be missed:
+measured recall against brute force is in the README.
 
 Exact copies are one class from the start and are only written out in ``pairs``.  A long list (of a hot group of near
 copies) is cut into blocks of which all pairs are compared, each pair of blocks as a task of its own.
@@ -33,7 +35,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import cut, width
 
-GRAM, SLOTS, SHORT = 8, 64, 24
+GRAM, SLOTS = 8, 64
+#: Copies agree in 64 * 0.6 lists, less three deviations of 3.9.
+T = 26
+SHORT = SLOTS - T + 1
 #: Classes and bits of the sketch; a candidate pair must agree in 128 * (0.6 + 0.4 / 8) less three deviations of 5.4.
 FINE, PLANES, REACH = 128, 3, 67
 SKETCH_WORDS = FINE * PLANES // 64
@@ -164,11 +169,11 @@ def _postings(prints: DataFrame, lengths) -> DataFrame:
                 sig = _matrix(batch.column(1))
                 lists = _lists(sig)
                 n = counts[_counter(lists)].astype(np.int64)
-                n[(sig == NONE) | (n < 2)] = 1 << 40
+                n[sig == NONE] = 1 << 40
                 # by length, then by the list's own hash, so that all records agree on the order
                 order = np.lexsort((lists * np.uint64(0xD6E8FEB86659FD93), n), axis=1)[:, :SHORT]
                 n, chosen = np.take_along_axis(n, order, 1), np.take_along_axis(lists, order, 1)
-                row, col = np.nonzero(n < 1 << 40)
+                row, col = np.nonzero((n > 1) & (n < 1 << 40))  # a list of one record has its place in the order, but no pair
                 names = batch.column(0).to_pylist()
                 packed = [x[4 * SLOTS :] for x in batch.column(1).to_pylist()]
                 name, part, side, ids, sketches = [], [], [], [], []

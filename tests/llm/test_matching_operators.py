@@ -145,6 +145,23 @@ def test_copy_pairs(spark, monkeypatch):
     assert {(r["chunk_id_a"], r["chunk_id_b"]) for r in nd.copy_pairs(df).collect()} == want
 
 
+def test_insertions_into_a_hot_family(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"{rng.choice(WORDS)}{rng.randint(1, 999)}" for _ in range(n)]
+    base = words(160)
+    family = [" ".join([*base[:k], *words(1), *base[k + 1 :]]) for k in range(0, 120, 3)]
+    longer = []
+    for _ in range(14):  # a member with a text of its own in it, which occurs in two rows
+        own = [*base[:80], *words(94), *base[80:]]
+        longer += [" ".join(own), " ".join([*own[:100], *words(1), *own[101:]])]
+    rows = [(f"{i:03}", t) for i, t in enumerate(family + longer)]
+    want = brute_pairs(rows)
+    crossing = {p for p in want if p[0] < f"{len(family):03}" <= p[1]}
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "chunk_id string, content string, id string, copy_class string").repartition(3)
+    got = {(r["chunk_id_a"], r["chunk_id_b"]) for r in nd.copy_pairs(df).collect()}
+    assert len(crossing) > 500 and len(crossing & got) >= 0.99 * len(crossing) and got <= want
+
+
 SCORES = "query_id bigint, chunk_id string, score double, text_score double, match_type string, served_at int, n string, points string"
 
 
