@@ -51,7 +51,8 @@ STOP_THAI = re.compile("ที่|ของ|และ|จะ|ได้|แล้
 #: Density, length and link thresholds of the first pass.
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.04, 0.12, 0.6
 
-SUSPECT = re.compile(r"[<\\`*|~{\[]|&[#\w]+;|^#|^>|''|__|^ {0,3}[=-]{3,}|\$[^$\n]+\$|^==", re.M)
+#: A sign of every rule below: a text without a match has no mark.
+SUSPECT = re.compile(r"[<\\`*_|~{\[&$]|==|''|^ {0,3}(?:[#>=]|-{3})", re.M)
 HELD = re.compile("\x00(\\d+)\x00")
 CODE = re.compile(
     r"^[ \t]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<md>.*?)^[ \t]{0,3}(?P=fence)[ \t]*$"

@@ -169,6 +169,16 @@ def test_markup(spark):
     assert markup.clean(rows.limit(0)).count() == 0
 
 
+def test_smallest_marks_are_read():
+    cases = {
+        "The _quick_ fox.": "markdown", "$$\nE = mc^2\n$$": "latex", "$x_1 =\n y$": "latex", " # Title": "markdown", "  > said": "markdown", "Head\n=": "markdown", "Head\n   ---": "markdown", "a __b__": "markdown",
+        "a *b*": "markdown", "~~b~~": "markdown", "`b`": "markdown", "a | b\n--|--\n---|---": "markdown", "[a](b)": "markdown", "- [x] a": "markdown", "[^1]: a": "markdown", "~~~\na\n~~~": "markdown",
+        "<b>": "html", "&amp;": "html", "&#65;": "html", "\\item": "latex", "\\(x\\)": "latex", "== a ==": "wiki", "[[a]]": "wiki", "{{a}}": "wiki", "''a''": "wiki", "{|\n|}": "wiki",
+    }
+    for text, found in cases.items():
+        assert markup.convert(text)[1] == [found], text
+
+
 def test_block_rules():
     links = "\x03Home\x04 \x03About\x04 \x03Jobs\x04 \x03Contact\x04"
     long = "This is the text that we have for all of you and it is not a list of the links. " * 4
