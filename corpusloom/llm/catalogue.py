@@ -50,6 +50,11 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "clean_text", F.concat_ws(",", "markups").alias("markups"), "kept", "dropped")
 
 
+def p3_chunk_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = markup.clean(table(spark, sf_dir, "chunks"), "chunk_id", "content")
+    return out.select("chunk_id", "clean_text", F.concat_ws(",", "markups").alias("markups"), "kept", "dropped")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     prose = table(spark, sf_dir, "documents").where("is_flow")
     return sentences.sentences(prose, with_text=False).select("doc_id", "end_offset")
@@ -104,7 +109,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clean, p4_found, p4_sentences, p4_chunk_sentences, p5_found, p5_ranking,
+        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clean, p3_chunk_clean, p4_found, p4_sentences, p4_chunk_sentences, p5_found, p5_ranking,
         p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels,
     )}
 

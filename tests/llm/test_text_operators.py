@@ -179,6 +179,15 @@ def test_smallest_marks_are_read():
         assert markup.convert(text)[1] == [found], text
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_chunks_are_cleaned_too(spark):
+    from corpusloom.llm import catalogue
+
+    rows = catalogue.queries()["p3_chunk_clean"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/chunks.parquet").count()
+    assert rows.where("markups != ''").count() > 0
+
+
 def test_block_rules():
     links = "\x03Home\x04 \x03About\x04 \x03Jobs\x04 \x03Contact\x04"
     long = "This is the text that we have for all of you and it is not a list of the links. " * 4
