@@ -63,7 +63,7 @@ CODE = re.compile(
 FORMULA = re.compile(
     r"\\begin\{(?P<env>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(?P<block>.*?)\\end\{(?P=env)\}"
     r"|\\\[(?P<display>[^\]]*?[=\\^_+<>][^\]]*?)\\\]|\\\((?P<inline>[^()\n]*?[=\\^_+\w][^\n]*?)\\\)"
-    r"|\$\$(?P<double>[^$]+)\$\$|(?<![\\$\w])\$(?P<dollar>(?!\s)[^$\n]{0,200}?(?:\n(?!\s*\n)[^$\n]{0,100}?)?(?<![\s\\]))\$(?![\w$])",
+    r"|\$\$(?P<double>[^$]+)\$\$|(?<![\\$\w])\$(?P<dollar>(?!\s)(?:[^$\n]|\n(?!\s*\n))*?(?<![\s\\]))\$(?![\w$])",
     re.S,
 )
 MATH_SIGN = re.compile(r"[\\^_{}=]|^[A-Za-z]$|^[A-Za-z]\s*[-+<>]\s*\w+$")
@@ -81,9 +81,9 @@ COMMAND = re.compile(r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}(?
 BARE = re.compile(rf"(?<![\w:\\])\\(?:{'|'.join(BARE_COMMANDS.split())})(?![A-Za-z\\])")
 WIKI_HEADING = re.compile(r"^(={2,6})[ \t]*(?=[^=\s])(.+?)[ \t]*\1[ \t]*$", re.M)
 WIKI_FILE = re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo|Category|Kategorie):[^\[\]]*\]\]", re.I)
-WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]{1,300}\|)?([^\[\]|]{1,400})\]\]")
-TEMPLATE = re.compile(r"\{\{[^{}]{1,500}\}\}")
-WIKI_EMPHASIS = re.compile(r"(?<!['\w])('{2,3})(?=[^\s'])((?:[^'\n]|'(?!')|\n(?!\s*\n)){1,400}?)(?<=[^\s'])\1(?!['\w])|(?<=[^\x00-\x7f])('{2,3})(?=[^\s'])([^'\n]{1,400}?)\3")
+WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]+\|)?([^\[\]|]+)\]\]")
+BRACE = re.compile(r"[{}]")
+WIKI_EMPHASIS = re.compile(r"(?<!['\w])('{2,3})(?=[^\s'])((?:[^'\n]|'(?!')|\n(?!\s*\n))+?)(?<=[^\s'])\1(?!['\w])|(?<=[^\x00-\x7f])('{2,3})(?=[^\s'])([^'\n]+?)\3")
 WIKI_TABLE = re.compile(r"^\{\|.*?^\|\}[ \t]*$", re.S | re.M)
 RULE_ROW = re.compile(r"^[ \t]{0,3}(?:\|[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?|:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?)[ \t]*$")
 ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
@@ -92,19 +92,41 @@ QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
 LIST = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,4}[.)])[ \t]+(\[[ xX]\][ \t]+)?(\S.*)$")
 NOTE = re.compile(r"^\[\^[^\]\s]+\]:[ \t]+")
 IMAGE = re.compile(r"!\[([^\]\n]*)\]\([^()\n]+\)")
-LINK = re.compile(r"(?<!!)\[([^\[\]]{1,400})\]\((?:[^()\s]+)(?:\s+\"[^\"]*\")?\)")
+LINK = re.compile(r"(?<!!)\[([^\[\]]+)\]\((?:[^()\s]+)(?:\s+\"[^\"]*\")?\)")
 BEGIN = r"(?=[^\s*_~`.,;:!?)\]}])"
 INLINE = [
-    re.compile(r"(?<!\*)\*\*" + BEGIN + r"((?:[^*\n]|\n(?!\s*\n)){1,600}?)(?<=\S)\*\*(?!\*)"),
-    re.compile(r"(?<!\w)__" + BEGIN + r"((?:[^_\n]|_(?!_)|\n(?!\s*\n)){1,600}?)(?<=\S)__(?!\w)"),
-    re.compile(r"(?<![A-Za-z0-9*\\/])\*" + BEGIN + r"((?:[^*\n]|\n(?!\s*\n)){1,600}?)(?<=[^\s*(])\*(?![A-Za-z0-9*])"),
-    re.compile(r"(?<![\w\\/])_" + BEGIN + r"((?:[^_\n]){1,300}?)(?<=[^\s_])_(?![\w/])"),
-    re.compile(r"~~(?=\S)((?:[^~\n]|\n(?!\s*\n)){1,600}?)(?<=\S)~~"),
-    re.compile(r"(?<![`\\])`(?=[^`\s])((?:[^`\n]|\n(?!\s*\n)){0,400}?[^`\s])`(?!`)|(?<!`)`([^`\s])`(?!`)"),
+    re.compile(r"(?<!\*)\*\*" + BEGIN + r"((?:[^*\n]|\n(?!\s*\n))+?)(?<=\S)\*\*(?!\*)"),
+    re.compile(r"(?<!\w)__" + BEGIN + r"((?:[^_\n]|_(?!_)|\n(?!\s*\n))+?)(?<=\S)__(?!\w)"),
+    re.compile(r"(?<![A-Za-z0-9*\\/])\*" + BEGIN + r"((?:[^*\n]|\n(?!\s*\n))+?)(?<=[^\s*(])\*(?![A-Za-z0-9*])"),
+    re.compile(r"(?<![\w\\/])_" + BEGIN + r"((?:[^_\n]|\n(?!\s*\n))+?)(?<=[^\s_])_(?![\w/])"),
+    re.compile(r"~~(?=\S)((?:[^~\n]|\n(?!\s*\n))+?)(?<=\S)~~"),
+    re.compile(r"(?<![`\\])`(?=[^`\s])((?:[^`\n]|\n(?!\s*\n))*?[^`\s])`(?!`)|(?<!`)`([^`\s])`(?!`)"),
 ]
 MARKUPS = ("html", "latex", "markdown", "wiki")
 
 
+def without_templates(text: str) -> str:
+    """The text without its wiki templates, which are double braces that balance, nested ones included."""
+    opened: list[int] = []
+    spans: list[tuple[int, int]] = []
+    last = (-1, -1)
+    for m in BRACE.finditer(text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            pair = (opened.pop(), m.start())
+            if last == (pair[0] + 1, pair[1] - 1) and pair[1] - pair[0] > 3:
+                while spans and spans[-1][0] > pair[0]:
+                    spans.pop()
+                spans.append(pair)
+            last = pair
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at:a])
+        at = b + 1
+    return "".join(out) + text[at:]
+
+
 class Reader:
     """Blocks of one text and the markup languages met on the way."""
 
@@ -165,10 +187,9 @@ class Reader:
             new = re.sub(r"(\\begin\{tabular\*?\}.*?\\end\{tabular\*?\})", lambda m: re.sub(r"\\\\[ \t]*\n?", "\n\x02", m[1]).replace(" & ", " | "), new, flags=re.S)
             new = ENVIRONMENT.sub("\n", REFERENCES.sub("", new))
             new = re.sub(r"(?<![\w:\\])\\item\b(?:\[[^\]]*\])?[ \t]*", "\n\n\x01", new)
-            for _ in range(4):  # nested commands, inside out
+            before = ""
+            while new != before:  # nested commands, inside out
                 before, new = new, COMMAND.sub(lambda m: m[2] or m[1], new)
-                if new == before:
-                    break
             new = BARE.sub("", new)
             if new != text:
                 self.found.add("latex")
@@ -193,10 +214,11 @@ class Reader:
         if "[[" in new:
             new = WIKI_LINK.sub(lambda m: self._link(m[1]), WIKI_FILE.sub("\n\n", new))
         if "{{" in new:
-            new = TEMPLATE.sub("", new)
+            new = without_templates(new)
         if "''" in new:
-            for _ in range(2):
-                new = WIKI_EMPHASIS.sub(lambda m: m[2] or m[4], new)
+            before = ""
+            while new != before:
+                before, new = new, WIKI_EMPHASIS.sub(lambda m: m[2] or m[4], new)
         if new != text:
             self.found.add("wiki")
         return new

@@ -188,6 +188,16 @@ def test_chunks_are_cleaned_too(spark):
     assert rows.where("markups != ''").count() > 0
 
 
+def test_long_and_nested_marks():
+    long = "word " * 300 + "end"
+    for opening, closing, found in (("**", "**", "markdown"), ("*", "*", "markdown"), ("_", "_", "markdown"), ("__", "__", "markdown"), ("~~", "~~", "markdown"), ("`", "`", "markdown"), ("''", "''", "wiki")):
+        assert markup.convert(f"The {opening}{long}{closing} of it.")[:2] == (f"The {long} of it.", [found]), opening
+    assert markup.convert(f"[{long}](x)")[1] == ["markdown"] and markup.convert(f"[[a|{long}]]")[1] == ["wiki"]
+    assert markup.convert("A {{box|" + long + "|{{b|{{c}}}}}} z {{open")[:2] == ("A  z {{open", ["wiki"])
+    assert markup.convert("$x = " + "y + " * 200 + "z$")[1] == ["latex"]
+    assert markup.convert("\\textbf{" * 9 + "deep" + "}" * 9)[:2] == ("deep", ["latex"])
+
+
 def test_block_rules():
     links = "\x03Home\x04 \x03About\x04 \x03Jobs\x04 \x03Contact\x04"
     long = "This is the text that we have for all of you and it is not a list of the links. " * 4
