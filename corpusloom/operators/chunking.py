@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,13 +24,14 @@ def _number(text: str | None) -> int | None:
         return None
 
 
-def _page_at(bounds: list[dict], offset: int) -> int | None:
-    best, at = None, -1
-    for b in bounds:
-        if b["type"] == "page" and at < b["start_offset"] <= offset:
-            at = b["start_offset"]
-            best = _number(b["title"]) if _number(b["title"]) is not None else best
-    return best
+def _pages(bounds: list[dict]) -> tuple[list[int], list[int | None]]:
+    """Starts of the page markers in order, and the last page number that is one at each."""
+    starts, numbers = [], []
+    for at, title in sorted({b["start_offset"]: b["title"] for b in reversed(bounds) if b["type"] == "page"}.items()):
+        n = _number(title)
+        starts.append(at)
+        numbers.append(n if n is not None else numbers[-1] if numbers else None)
+    return starts, numbers
 
 
 def chunk_rows(name: str, text: str, bounds: list[dict], options: ChunkOptions, count: Callable[[str], int]) -> list[tuple]:
@@ -38,6 +40,7 @@ def chunk_rows(name: str, text: str, bounds: list[dict], options: ChunkOptions,
     ordered = sorted(bounds, key=lambda b: b["start_offset"])
     by_id = {b["boundary_id"]: b for b in reversed(bounds)}
     starts = [b["start_offset"] for b in ordered]
+    page_starts, page_numbers = _pages(bounds)
     spans = [(0, starts[0] if starts else len(text), None)]
     spans += [(a, e, b) for a, e, b in zip(starts, [*starts[1:], len(text)], ordered)]
     for start, end, b in spans:
@@ -56,7 +59,8 @@ def chunk_rows(name: str, text: str, bounds: list[dict], options: ChunkOptions,
                 parent = by_id.get(b["parent_id"])
                 sheet = parent["title"] if parent and parent["type"] == "sheet" else None
             if b["type"] != "page":
-                page = _page_at(bounds, b["start_offset"])
+                known = bisect_right(page_starts, b["start_offset"])
+                page = page_numbers[known - 1] if known else None
         info = [b[k] for k in ("type", "boundary_id", "level", "parent_id", "title")] if b else [None] * 5
         for content, tokens in pack(region, options, count):
             out.append([f"{name}:{len(out)}", len(out), 0, content, tokens, *info, page, None, sheet, slide])

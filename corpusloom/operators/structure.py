@@ -1,16 +1,22 @@
 """Structure of texts: headings and page, sheet, slide and row markers as a hierarchy of boundaries.
 
-All of it is one native expression per row: lines are classified with their number, the few that are boundaries get
-their offset, implausible types are pruned, identifiers and parents assigned within the array.  No shuffle, no window
-over lines; a text's boundaries come out as an array and can be exploded.
+All of it is row-local: lines are classified natively, and the few that are boundaries (never the text) go through one
+pass of an Arrow function that gives them offsets, identifiers and parents.  Its work is proportional to the number of
+lines; array expressions would look back over the array for each element.  No shuffle, no window over lines; a text's
+boundaries come out as an array and can be exploded.
 
 Defined cases: a null text gives a null array, a text without boundaries an empty one; offsets count code points.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import strip
 from corpusloom.schema import BOUNDARY, PLAUSIBLE
@@ -65,39 +71,59 @@ def line_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return placed.withColumn("line", strip(F.col("raw"))).where("line <> ''").drop("raw")
 
 
-def number(found: Column) -> Column:
-    """Boundaries (type, level, title, start_offset) in order, with ord and ``type:n`` identifiers.  ``found`` must be a
-    plain column: it is read again for every element."""
-    return F.transform(
-        found,
-        lambda x, i: F.struct(
-            i.alias("ord"),
-            x["type"].alias("type"),
-            x["level"].alias("level"),
-            F.concat(x["type"], F.lit(":"), F.size(F.filter(F.slice(found, 1, i + 1), lambda y: y["type"] == x["type"])).cast("string")).alias("boundary_id"),
-            x["title"].alias("title"),
-            x["start_offset"].alias("start_offset"),
-        ),
-    )
-
-
-def nest(named: Column) -> Column:
-    """Numbered boundaries with parents: the last one before that has a lower level.  ``named`` must be a plain column."""
-    return F.transform(
-        named,
-        lambda x, i: x.withField("parent_id", F.try_element_at(F.filter(F.slice(named, 1, i), lambda y: y["level"] < x["level"]), F.lit(-1))["boundary_id"]),
-    )
-
-
-def prune(found: Column) -> Column:
-    """Without the types that were detected implausibly often."""
-
-    def of_type(kind: str) -> Column:
-        return F.filter(found, lambda y: y["type"] == kind)
-
-    noisy = [F.when(F.size(of_type(t)) > most, F.lit(t)) for t, most in PLAUSIBLE.items()]
-    names = F.array_compact(F.array(*noisy))
-    return F.when(F.size(names) > 0, F.filter(found, lambda x: ~F.array_contains(names, x["type"]))).otherwise(found)
+def assemble(marks: list[dict], lengths: list[int], known: list[dict] | None) -> list[dict]:
+    """Boundaries of one text from its marked lines (line number, type, level, title), in one pass.
+
+    ``lengths`` are those of all lines.  Types detected implausibly often go; the others are numbered ``type:n`` and put
+    under the last one before that has a lower level.  ``known`` are the reader's own boundaries: both come out in order of
+    offset (the reader's first on ties), and a detected one without a parent is put under the reader's last one before it
+    that has a lower level.
+    """
+    often = Counter(m["type"] for m in marks)
+    starts = list(accumulate((n + 1 for n in lengths), initial=0))
+    native = sorted(known or [], key=lambda b: b["start_offset"])
+    counts: Counter[str] = Counter()
+    out: list[dict] = []
+    open_found: list[tuple[int, str]] = []  # chain of the detected ones that may still get children
+    open_native: list[tuple[int, str]] = []
+    taken = 0
+
+    def above(chain: list[tuple[int, str]], level: int) -> str | None:
+        return next((name for at, name in reversed(chain) if at < level), None)
+
+    for m in marks:
+        if often[m["type"]] > PLAUSIBLE.get(m["type"], len(marks)):
+            continue
+        at = starts[m["line_no"]]
+        while taken < len(native) and native[taken]["start_offset"] <= at:
+            b = native[taken]
+            while open_native and open_native[-1][0] >= b["level"]:
+                open_native.pop()
+            open_native.append((b["level"], b["boundary_id"]))
+            out.append(b)
+            taken += 1
+        counts[m["type"]] += 1
+        name = f"{m['type']}:{counts[m['type']]}"
+        while open_found and open_found[-1][0] >= m["level"]:
+            open_found.pop()
+        parent = open_found[-1][1] if open_found else above(open_native, m["level"])
+        open_found.append((m["level"], name))
+        out.append({"type": m["type"], "level": m["level"], "boundary_id": name, "title": m["title"], "start_offset": at, "parent_id": parent})
+    return [b | {"ord": i} for i, b in enumerate([*out, *native[taken:]])]
+
+
+_FIELDS = [f.split(":") for f in BOUNDARY[7:-1].split(",")]
+_ARROW = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in _FIELDS]))
+
+
+_SPARK = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if t == "int" else T.StringType()) for n, t in _FIELDS]))
+
+
+@F.arrow_udf(_SPARK)
+def _assembled(marks: pa.Array, lengths: pa.Array, known: pa.Array) -> pa.Array:
+    """Column form of :func:`assemble`; only marked lines, line lengths and known boundaries come to Python, never text."""
+    rows = zip(marks.to_pylist(), lengths.to_pylist(), known.to_pylist())
+    return pa.array([None if m is None else assemble(m, n, k) for m, n, k in rows], _ARROW)
 
 
 def detect(df: DataFrame, text: str = "text", name: str = "boundaries", loader: str | None = None) -> DataFrame:
@@ -107,30 +133,11 @@ def detect(df: DataFrame, text: str = "text", name: str = "boundaries", loader:
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda raw, i: F.struct(strip(raw).alias("line"), i.alias("i")))
     likely = F.filter(lines, lambda s: s["line"].rlike(LIKELY))
     marked = F.filter(F.transform(likely, lambda s: F.struct(classify(s["line"], skip).alias("m"), s["i"].alias("i"))), lambda s: s["m"].isNotNull())
-    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.length(F.call_function("substring_index", F.col(text), F.lit("\n"), i)) + 1)
-    found = F.transform(F.col("__marked"), lambda s: F.struct(s["m"]["type"].alias("type"), s["m"]["level"].alias("level"), s["m"]["title"].alias("title"), start(s["i"]).cast("int").alias("start_offset")))
-    out = df
-    for step, made in (("__marked", marked), ("__found", found), ("__kept", prune(F.col("__found"))), ("__named", number(F.col("__kept"))), ("__nested", nest(F.col("__named")))):
-        out = out.withColumn(step, made)
-    result = merge(F.col(loader), F.col("__nested")) if loader else F.col("__nested")
-    return out.withColumn(name, result.cast(f"array<{BOUNDARY}>")).drop("__marked", "__found", "__kept", "__named", "__nested")
-
-
-def merge(loader: Column, detected: Column) -> Column:
-    """Reader's and detected boundaries in order of offset (the reader's first on ties); a detected one without a
-    parent is put under the nearest preceding one of the reader's that has a lower level."""
-    fields = ("ord", "type", "level", "boundary_id", "title", "start_offset", "parent_id")
-    known = F.coalesce(loader, F.array().cast(f"array<{BOUNDARY}>"))
-    in_order = F.array_sort(F.transform(known, lambda x, i: F.struct(x["start_offset"].alias("s"), i.alias("i"), x.alias("b"))), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["i"] - b["i"]))
-
-    def adopted(x: Column) -> Column:
-        near = F.try_element_at(F.filter(in_order, lambda p: (p["s"] <= x["start_offset"]) & (p["b"]["level"] < x["level"])), F.lit(-1))
-        return x.withField("parent_id", F.coalesce(x["parent_id"], near["b"]["boundary_id"]))
-
-    one = lambda x, late, i: F.struct(x["start_offset"].alias("s"), F.lit(late).alias("late"), i.alias("i"), F.struct(*[x[f].alias(f) for f in fields]).alias("b"))
-    both = F.concat(F.transform(known, lambda x, i: one(x, 0, i)), F.transform(detected, lambda x, i: one(adopted(x), 1, i)))
-    by_offset = lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["late"] != b["late"], a["late"] - b["late"]).otherwise(a["i"] - b["i"])
-    return F.transform(F.array_sort(both, by_offset), lambda x, i: x["b"].withField("ord", i))
+    marks = F.transform(marked, lambda s: F.struct(s["m"]["type"].alias("type"), s["m"]["level"].alias("level"), s["m"]["title"].alias("title"), s["i"].alias("line_no")))
+    # Lengths are only needed where something is marked.
+    lengths = F.when(F.size("__marks") > 0, F.transform(F.split(F.col(text), "\n", -1), lambda raw: F.length(raw))).otherwise(F.array().cast("array<int>"))
+    known = F.col(loader) if loader else F.lit(None).cast(f"array<{BOUNDARY}>")
+    return df.withColumn("__marks", marks).withColumn(name, _assembled(F.col("__marks"), lengths, known)).drop("__marks")
 
 
 def boundary_rows(df: DataFrame, keys: list[str], name: str = "boundaries") -> DataFrame:
@@ -139,25 +146,26 @@ def boundary_rows(df: DataFrame, keys: list[str], name: str = "boundaries") -> D
     return df.select(*keys, F.explode_outer(name).alias("b")).where("b is not null").select(*keys, "b.*")
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stretches(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    """Stripped text up to the first start and from each start to the next; native substrings would count from the
+    text's beginning for each of them."""
+    out = []
+    for text, at in zip(texts.to_pylist(), starts.to_pylist()):
+        ends = [*(at or []), len(text or "")]
+        out.append(None if text is None else [text[a:b].strip() for a, b in zip([0, *ends], ends)])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def regions(df: DataFrame, keys: list[str], text: str = "text", name: str = "boundaries") -> DataFrame:
     """Stripped non-empty stretches from one boundary to the next, the text before the first one with a null boundary."""
-    b = F.col(name)
-    starts = F.transform(F.array_sort(F.transform(b, lambda x: F.struct(x["start_offset"].alias("s"), x["ord"].alias("o")))), lambda x: x["s"])
-    order = F.array_sort(F.transform(b, lambda x: F.struct(x["start_offset"].alias("s"), x["ord"].alias("o"))))
-    spans = F.transform(
-        order,
-        lambda x, i: F.struct(
-            (i + 1).alias("region"),
-            F.filter(b, lambda y: y["ord"] == x["o"])[0].alias("b"),
-            x["s"].alias("s"),
-            F.coalesce(F.try_element_at(starts, i + 2), F.length(text)).alias("e"),
-        ),
-    )
-    first = F.coalesce(F.try_element_at(starts, F.lit(1)), F.length(text))
-    lead = F.array(F.struct(F.lit(0).alias("region"), F.lit(None).cast(BOUNDARY).alias("b"), F.lit(0).alias("s"), first.alias("e")))
-    rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"), F.explode(F.concat(lead, spans)).alias("r"))
-    cut_out = F.substring(F.col("__text"), F.col("r.s") + 1, F.col("r.e") - F.col("r.s"))
-    return rows.select(*keys, F.col("r.region").alias("region"), F.col("r.b.boundary_id").alias("boundary_id"), F.col("r.b.type").alias("type"), F.col("r.s").alias("start_offset"), strip(cut_out).alias("content")).where("content <> ''")
+    by_offset = F.array_sort(F.transform(F.col(name), lambda x: F.struct(x["start_offset"].alias("s"), x["ord"].alias("o"), x.alias("b"))), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["o"] - b["o"]))
+    known = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"), by_offset.alias("__order"))
+    cut_out = known.select(*keys, "__order", _stretches(F.col("__text"), F.transform("__order", lambda x: x["s"])).alias("__content"))
+    rows = cut_out.select(*keys, F.posexplode_outer("__content").alias("region", "content"), "__order").where("content <> ''")
+    b = F.try_element_at("__order", F.col("region"))["b"]  # places count from 1: the stretch before the first has none
+    own = rows.withColumn("__b", F.when(F.col("region") > 0, b))
+    return own.select(*keys, "region", F.col("__b.boundary_id").alias("boundary_id"), F.col("__b.type").alias("type"), F.coalesce("__b.start_offset", F.lit(0)).alias("start_offset"), "content")
 
 
 def boundary_at(points: DataFrame, boundaries: DataFrame, keys: list[str], offset: str = "offset") -> DataFrame:
