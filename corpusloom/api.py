@@ -12,18 +12,23 @@ from corpusloom.operators import content, hierarchy, search
 from corpusloom.operators.chunking import chunk_documents
 from corpusloom.operators.structure import boundary_rows, detect
 from corpusloom.operators.vectors import hash_embedding, with_neighbours
+from corpusloom.runtime import cut
 from corpusloom.schema import ChunkOptions, SearchParams
 from corpusloom.sources import files
 from corpusloom.sources.store import Store
-from corpusloom.validate import respond, validate
+from corpusloom.validate import NotFound, respond, validate
 
 
-def ingest(docs: DataFrame, options: ChunkOptions | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, boundaries, vectors) of loaded documents; row-local work only."""
-    chunks = chunk_documents(docs, "source", "source", "content", options, "loader")
-    boundaries = boundary_rows(detect(docs, "content", "bounds", "loader"), ["source"], "bounds")
-    vectors = chunks.select("chunk_id", "source", hash_embedding(F.col("content")).alias("embedding"))
-    return chunks, boundaries, vectors
+def ingest(store: Store, docs: DataFrame, options: ChunkOptions | None = None) -> None:
+    """Index loaded documents in place of their sources' older rows.
+
+    Files are read and structured once (what comes out is written to the shared folder), chunks are packed once, and
+    vectors and words come from the chunks as stored.  Row-local work up to the store's own exchange by bucket.
+    """
+    ready = cut(detect(docs.select("source", "path", "file_type", "content", "loader"), "content", "bounds", "loader").drop("loader"))
+    chunks = chunk_documents(ready, "source", "source", "content", options, bounds="bounds")
+    embed = lambda rows: rows.select("chunk_id", "source", hash_embedding(F.col("content")).alias("embedding"))
+    store.save(ready.select("source", "path", "file_type"), chunks, boundary_rows(ready, ["source"], "bounds"), embed)
 
 
 class Engine:
@@ -41,23 +46,22 @@ class Engine:
         return respond(lambda: getattr(self, request)(**validate(request, arguments)))
 
     def _known(self, source: str) -> None:
-        known = sorted(r["source"] for r in self.store.read("manifest").select("source").toLocalIterator())
-        if source not in known:
-            raise KeyError(f"source '{source}' is not indexed; known: {', '.join(known[:20])}")
+        if self.store.read("manifest", source).isEmpty():
+            raise NotFound(f"source '{source}' is not indexed", "source_name", "see doc_list for what is indexed, or index the document first with doc_index")
 
     def doc_index(self, file_path: str, source_name: str | None = None) -> dict:
         path = files.resolve(file_path, self.root)
         kind = files.check_file(path)
         docs = files.load_documents(self.spark, path, source_name)
-        self.store.save(docs, *ingest(docs))
-        name = docs.first()["source"]
-        row = self.store.read("manifest").where(F.col("source") == name).first()
+        ingest(self.store, docs)
+        name = docs.select("source").first()["source"]
+        row = self.store.read("manifest", name).first()
         return {"source": name, "file_type": kind, "chunks": row["chunks"], "has_boundaries": row["has_boundaries"]}
 
     def doc_search(self, query: str, sources=None, top_k=5, include_context=True, expand_to_boundary=None, max_return_tokens=4096, include_siblings=False) -> dict:
         params = SearchParams(query, tuple(sources) if sources else None, top_k, include_context, expand_to_boundary, max_return_tokens, include_siblings)
         chunks, vectors = self.store.read("chunks"), self.store.read("vectors")
-        ranked = search.hybrid_search(chunks, vectors, list(self.embed(query)), params)
+        ranked = search.hybrid_search(chunks, vectors, list(self.embed(query)), params, self.store.read("words"))
         if not expand_to_boundary:
             rows = search.within_budget(ranked, max_return_tokens).orderBy(F.desc("score"), "chunk_id").collect()  # at most top_k
             total = max((r["total_tokens"] for r in rows), default=0)
@@ -67,9 +71,9 @@ class Engine:
         for row in ranked.orderBy(F.desc("score"), "chunk_id").collect():
             item = _item(row)
             if row["boundary_id"] is not None:
-                hit = ranked.where(F.col("chunk_id") == row["chunk_id"]).select("source", "chunk_id", "boundary_id")
-                own = F.col("source") == row["source"]
-                wide = search.expand(hit, chunks.where(own), self.store.read("boundaries").where(own), ["source"], expand_to_boundary, max_return_tokens - total, include_siblings).first()
+                hit = self.spark.createDataFrame([(row["source"], row["chunk_id"], row["boundary_id"])], "source string, chunk_id string, boundary_id string")
+                own, bounds = (self.store.read(t, row["source"]) for t in ("chunks", "boundaries"))
+                wide = search.expand(hit, own, bounds, ["source"], expand_to_boundary, max_return_tokens - total, include_siblings).first()
                 if wide is not None and wide["expanded_content"] is not None:
                     item |= {"expanded_content": wide["expanded_content"], "boundary_info": {"id": wide["expanded_id"], "type": wide["expanded_type"], "level": wide["expanded_level"], "title": wide["expanded_title"], "chunk_count": wide["chunk_count"]}}
                     total += wide["expanded_tokens"]
@@ -84,10 +88,10 @@ class Engine:
         return {"sources": rows, "count": len(rows)}
 
     def doc_chunk(self, chunk_id: str, neighbors: int = 0) -> dict:
-        chunks = self.store.read("chunks").where(F.col("source") == chunk_id.rpartition(":")[0])
+        chunks = self.store.read("chunks", chunk_id.rpartition(":")[0])
         row = chunks.where(F.col("chunk_id") == chunk_id).first()
         if row is None:
-            raise KeyError(f"no chunk '{chunk_id}'")
+            raise NotFound(f"no chunk '{chunk_id}'", "chunk_id", "see doc_search for chunk ids")
         out = {"chunk": _sparse(row)}
         if neighbors:
             near = with_neighbours(chunks, self.spark.createDataFrame([(chunk_id,)], "chunk_id string"), neighbors)
@@ -115,15 +119,14 @@ class Engine:
 
     def doc_toc(self, source_name: str, max_depth: int = 3) -> dict:
         self._known(source_name)
-        own = F.col("source") == source_name
-        rows = hierarchy.toc(self.store.read("boundaries").where(own), self.store.read("chunks").where(own), ["source"], max_depth).collect()  # one document's headings
+        bounds, chunks = (self.store.read(t, source_name) for t in ("boundaries", "chunks"))
+        rows = hierarchy.toc(bounds, chunks, ["source"], max_depth).collect()  # one document's headings
         tree = hierarchy.toc_tree([r.asDict() for r in rows])
         return {"source_name": source_name, "toc": tree, "total_entries": hierarchy.toc_size(tree)}
 
     def doc_get_content(self, source_name: str, boundary_id=None, chapter=None, section=None, pages=None, max_return_tokens=8192, include_children=True) -> dict:
         self._known(source_name)
-        own = F.col("source") == source_name
-        chunks, bounds, keys = self.store.read("chunks").where(own), self.store.read("boundaries").where(own), ["source"]
+        chunks, bounds, keys = self.store.read("chunks", source_name), self.store.read("boundaries", source_name), ["source"]
         if boundary_id is not None:
             found = content.by_boundary(chunks, bounds, keys, boundary_id, include_children, max_return_tokens)
         elif pages is not None:
@@ -133,7 +136,7 @@ class Engine:
             found = content.by_title(chunks, bounds, keys, chapter or section, "chapter" if chapter else None, include_children, max_return_tokens)
         row = found.first()
         if row is None or not row["content"]:
-            raise KeyError("no content there; see doc_toc for what the source has")
+            raise NotFound("no content at that place", None, "see doc_toc for the boundaries of the source")
         return _sparse(row)
 
 

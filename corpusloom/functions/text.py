@@ -29,6 +29,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def plain_lines(c: Column) -> Column:
+    """Text with every line end (carriage return, line feed or both) as one line feed."""
+    return F.regexp_replace(c, r"\r\n?", "\n")
+
+
 def words(c: Column) -> Column:
     """Lower-case words; an array."""
     return F.regexp_extract_all(F.lower(c), F.lit(WORDS), 1)

@@ -70,17 +70,20 @@ def chunk_rows(name: str, text: str, bounds: list[dict], options: ChunkOptions,
 
 
 def chunk_documents(
-    df: DataFrame, key: str = "doc_id", name: str | None = None, text: str = "text", options: ChunkOptions | None = None, loader: str | None = None, count: Callable[[str], int] = count_signs
-) -> DataFrame:
+    df: DataFrame, key: str = "doc_id", name: str | None = None, text: str = "text", options: ChunkOptions | None = None, loader: str | None = None,
+    count: Callable[[str], int] = count_signs, bounds: str | None = None,
+) -> DataFrame:
     """Chunks of every document: ``key`` and the chunk columns.  ``name`` (default: the key) begins the chunk ids.
 
     Null and blank texts have no chunks.  ``count`` is the token counter; any picklable function, such as a BPE's.
+    ``bounds`` names an array of boundaries that were detected before.
     """
     opts = options or ChunkOptions()
     opts.validate()
     kind = df.schema[key].dataType.simpleString()
-    known = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(name or key).cast("string").alias("name"), F.col(text).alias("text"), *([F.col(loader).alias("loader")] if loader else []))
-    ready = detect(known, "text", "bounds", "loader" if loader else None).select("key", "name", "text", "bounds")
+    known = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(name or key).cast("string").alias("name"), F.col(text).alias("text"), *([F.col(loader).alias("loader")] if loader else []), *([F.col(bounds).alias("bounds")] if bounds else []))
+    ready = known if bounds else detect(known, "text", "bounds", "loader" if loader else None)
+    ready = ready.select("key", "name", "text", "bounds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

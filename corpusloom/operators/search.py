@@ -10,42 +10,56 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import exact_score, query_tokens, similarity_ratio, snippet, words
 from corpusloom.operators.hierarchy import ancestors, siblings
 from corpusloom.operators.vectors import nearest_per_source
+from corpusloom.runtime import cut
 from corpusloom.schema import SearchParams, level_of
 
 #: Fixed values of the search: least score kept, similarity at which tokens match, difference in length gated out.
 LEAST, ALIKE, GATE = 0.3, 0.8, 0.4
+#: Most matching words that are broadcast.
+FEW = 100_000
 
 
-def fuzzy_scores(chunks: DataFrame, query: str) -> DataFrame:
+def could_match(a: Column, b: Column) -> Column:
+    """A native bound: false only where two words cannot reach the similarity.  Matching characters are at most those of
+    either word less the distinct ones that the other lacks, and twice their number over both lengths is the similarity."""
+    la, lb = F.length(a), F.length(b)
+    gate = F.abs(la - lb) <= F.greatest(la, lb) * F.lit(GATE)
+    signs = lambda c: F.split(c, "")
+    common = F.least(la - F.size(F.array_except(signs(a), signs(b))), lb - F.size(F.array_except(signs(b), signs(a))))
+    return gate & (2 * F.least(la, lb) >= (la + lb) * F.lit(ALIKE)) & (2 * common >= (la + lb) * F.lit(ALIKE - 1e-9))
+
+
+def fuzzy_scores(chunks: DataFrame, query: str, words_of: DataFrame | None = None) -> DataFrame:
     """(chunk_id, fuzzy): 0.75 times the share of query tokens that the chunk has, up to spelling.
 
-    Query tokens meet the distinct vocabulary, gated by length, once; the pairs that match go back to the chunks.
+    ``words_of`` (word, chunk_id) are the chunks' distinct words, such as the store keeps; without it they are taken from
+    the contents.  Query tokens meet the vocabulary once, behind a native bound; the words that match go back to the
+    chunks, broadcast after their number was checked.
     """
     tokens = Counter(query_tokens(query))
     n = sum(tokens.values())
     spark = chunks.sparkSession
     asked = spark.createDataFrame([(t, c) for t, c in tokens.items()] or [("", 0)], "asked string, times int").where("times > 0")
-    held = chunks.select("chunk_id", F.explode_outer(F.array_distinct(words(F.col("content")))).alias("word")).where("word is not null")
-    vocabulary = held.select("word").distinct()
-    near = F.abs(F.length("asked") - F.length("word")) <= F.greatest(F.length("asked"), F.length("word")) * F.lit(GATE)
-    pairs = vocabulary.join(F.broadcast(asked), near)  # the query's tokens: at most 10,000 characters by validation
-    alike = pairs.where((F.col("asked") == F.col("word")) | (similarity_ratio("asked", "word") >= ALIKE))
-    matched = held.join(alike, "word").select("chunk_id", "asked", "times").distinct()
+    held = words_of if words_of is not None else chunks.select("chunk_id", F.explode_outer(F.array_distinct(words(F.col("content")))).alias("word")).where("word is not null")
+    pairs = held.select("word").distinct().join(F.broadcast(asked), could_match(F.col("asked"), F.col("word")))  # the query's tokens: at most 10,000 characters by validation
+    alike = cut(pairs.where((F.col("asked") == F.col("word")) | (similarity_ratio("asked", "word") >= ALIKE)))
+    matched = held.join(F.broadcast(alike) if alike.count() <= FEW else alike, "word").select("chunk_id", "asked", "times").distinct()
     return matched.groupBy("chunk_id").agg((F.lit(0.75) * (F.sum("times") / F.lit(float(max(n, 1))))).alias("fuzzy"))
 
 
-def text_search(chunks: DataFrame, query: str, least: float = LEAST, fuzzy: bool = True) -> DataFrame:
+def text_search(chunks: DataFrame, query: str, least: float = LEAST, fuzzy: bool = True, words_of: DataFrame | None = None) -> DataFrame:
     """(chunk_id, text_score, match_type) of chunks at or above ``least``.  A blank query finds nothing; null contents
     match nothing."""
     low = query.strip().lower()
-    scored = chunks.select("chunk_id", (exact_score(F.col("content"), low) if low else F.lit(0.0)).alias("exact"))
+    exact = chunks.select("chunk_id", (exact_score(F.col("content"), low) if low else F.lit(0.0)).alias("exact"))
     if fuzzy and low:
-        scored = scored.join(fuzzy_scores(chunks, query), "chunk_id", "left")
+        # Both sides are hits only, so that the join moves no chunk that matches in no way.
+        scored = exact.where("exact > 0").join(fuzzy_scores(chunks, query, words_of), "chunk_id", "full_outer")
     else:
-        scored = scored.withColumn("fuzzy", F.lit(0.0))
-    second = F.coalesce("fuzzy", F.lit(0.0))
-    best = F.greatest("exact", second)
-    kind = F.when(F.col("exact") >= second, "exact_substring").otherwise("fuzzy_token")
+        scored = exact.withColumn("fuzzy", F.lit(0.0))
+    first, second = F.coalesce("exact", F.lit(0.0)), F.coalesce("fuzzy", F.lit(0.0))
+    best = F.greatest(first, second)
+    kind = F.when(first >= second, "exact_substring").otherwise("fuzzy_token")
     return scored.select("chunk_id", best.alias("text_score"), kind.alias("match_type")).where((F.col("text_score") >= least) & (F.col("text_score") > 0))
 
 
@@ -124,21 +138,32 @@ def expand(hits: DataFrame, chunks: DataFrame, boundaries: DataFrame, keys: list
     return aimed.join(full, [*keys, "expanded_id"], "left")
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, query_vector: list[float], params: SearchParams) -> DataFrame:
+def snippets_around(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Few hits (source, chunk_id, position) with snippets of the chunks one position before and after: two equality
+    look-ups, without sorting a source."""
+    near = hits.select("source", F.col("chunk_id").alias("__of"), F.explode(F.array(F.struct((F.col("position") - 1).alias("position"), F.lit("before").alias("side")), F.struct((F.col("position") + 1).alias("position"), F.lit("after").alias("side")))).alias("n"))
+    found = chunks.select("source", "position", "content").join(F.broadcast(near.select("source", "__of", "n.*")), ["source", "position"])
+    text = lambda side: F.max(F.when(F.col("side") == side, snippet(F.col("content")))).alias(side)
+    return found.groupBy(F.col("__of").alias("chunk_id")).agg(text("before"), text("after"))
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, query_vector: list[float], params: SearchParams, words_of: DataFrame | None = None) -> DataFrame:
     """Best chunks by blended score: chunk_id, source, score, text_score, match_type, content and six metadata columns,
-    with before and after if asked."""
-    pool, space = chunks, vectors
+    with before and after if asked.  The text hits and the ``top_k`` best are written down once; contents are read for
+    those alone."""
+    pool, space, known = chunks, vectors, words_of
     if params.sources:
-        pool, space = (d.where(F.col("source").isin(*params.sources)) for d in (chunks, vectors))
+        pool, space, known = (d if d is None else d.where(F.col("source").isin(*params.sources)) for d in (chunks, vectors, words_of))
     semantic = nearest_per_source(space, query_vector, 2 * params.top_k)
-    best = merge_scores(semantic, text_search(pool, params.query), params.top_k)
+    best = merge_scores(semantic, cut(text_search(pool, params.query, words_of=known)), params.top_k).collect()  # at most top_k
+    scores = chunks.sparkSession.createDataFrame([tuple(r) for r in best], "chunk_id string, score double, text_score double, match_type string")
     meta = ["position", "total_chunks", "boundary_type", "boundary_id", "boundary_title", "token_count"]
-    found = best.join(pool.select("chunk_id", "source", "content", *meta), "chunk_id")
-    out = found.select("chunk_id", "source", F.round("score", 4).alias("score"), F.round("text_score", 4).alias("text_score"), "match_type", "content", *meta)
+    rows = pool.where(F.col("chunk_id").isin([r["chunk_id"] for r in best])).select("chunk_id", "source", "content", *meta)
+    out = rows.join(F.broadcast(scores), "chunk_id").select("chunk_id", "source", F.round("score", 4).alias("score"), F.round("text_score", 4).alias("text_score"), "match_type", "content", *meta)
     if params.include_context:
-        around = pool.join(found.select("source").distinct(), "source", "left_semi")
-        snippets = context(around, ["source"]).select("chunk_id", "before", "after")
-        out = out.join(snippets, "chunk_id")
+        out = cut(out)
+        near = {r["source"] for r in out.select("source").distinct().collect()}
+        out = out.join(snippets_around(out, pool.where(F.col("source").isin(sorted(near)))), "chunk_id", "left")
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tables import csv_text, header_names, padded
-from corpusloom.functions.text import custom_source_name, source_name
+from corpusloom.functions.text import custom_source_name, plain_lines, source_name
 from corpusloom.schema import BOUNDARY, FILE_TYPES
 from corpusloom.sources.office import READERS
 
@@ -73,7 +73,7 @@ def load_documents(spark: SparkSession, paths: str | list[str], name: str | None
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(listed)
     typed = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), file_type(F.col("path")).alias("file_type"), "content", F.col("length").alias("file_size")).where("file_type is not null")
     plain = typed.where(F.col("file_type").isin("text", "markdown")).select(
-        "path", "file_type", F.decode("content", "UTF-8").alias("content"), F.create_map(F.lit("file_size"), F.col("file_size").cast("string")).alias("facts"), F.lit(None).cast(f"array<{BOUNDARY}>").alias("loader"), "file_size"
+        "path", "file_type", plain_lines(F.decode("content", "UTF-8")).alias("content"), F.create_map(F.lit("file_size"), F.col("file_size").cast("string")).alias("facts"), F.lit(None).cast(f"array<{BOUNDARY}>").alias("loader"), "file_size"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +101,9 @@ def read_document(docs: DataFrame, max_chars: int = 100_000, include_metadata: b
     return out if include_metadata else out.drop("facts", "loader")
 
 
-def list_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per table: path, table_index, location, headers, rows, row_count, col_count."""
+def list_tables(spark: SparkSession, path: str | list[str], index: int | None = None) -> DataFrame:
+    """One row per table: path, table_index, location, headers, rows, row_count, col_count.  With ``index`` only that
+    table of a file gets its cells; the others come with their places alone, headers and rows null."""
     files = spark.read.format("binaryFile").load(path)
     typed = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), file_type(F.col("path")).alias("file_type"), "content").where(F.col("file_type").isin(*TABLE_TYPES))
 
@@ -111,6 +112,9 @@ def list_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
             rows = []
             for p, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for k, (where, found) in enumerate(READERS[kind](data)[3]):
+                    if index not in (None, k):
+                        rows.append((p, k, where, None, None, None, None))
+                        continue
                     full = padded(found)
                     heads = ([str(h) for h in full[0]] if kind in ("docx", "pptx") else header_names([h or None for h in full[0]] if kind == "pdf" else full[0])) if full else []
                     body = [[None if v is None and kind != "pdf" else str(v if v is not None else "") for v in r] for r in full[1:]]
@@ -124,12 +128,12 @@ def list_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def extract_table(spark: SparkSession, path: str, index: int, max_rows: int | None = None) -> dict:
-    """One table of one file; an index out of range is an error."""
-    found = list_tables(spark, path)
-    hit = found.where(F.col("table_index") == index).limit(1).collect()
+    """One table of one file, read once; an index out of range is an error."""
+    places = list_tables(spark, path, index).collect()  # of one file: the wanted table and the places of the others
+    hit = [r.asDict() for r in places if r["table_index"] == index]
     if not hit:
-        raise ValueError(f"table index {index} out of range; the file has {found.count()} tables")
-    row = hit[0].asDict()
+        raise ValueError(f"table index {index} out of range; the file has {len(places)} tables")
+    row = hit[0]
     if max_rows is not None:
         row["rows"] = row["rows"][:max_rows]
         row["row_count"] = len(row["rows"])

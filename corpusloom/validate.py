@@ -28,6 +28,10 @@ class InvalidRequest(ValueError):
         return {k: v for k, v in out.items() if v is not None}
 
 
+class NotFound(InvalidRequest):
+    """A valid request for something that the index doesn't hold."""
+
+
 Check = Callable[[object, str], object]
 
 
@@ -144,7 +148,7 @@ def validate(request: str, arguments: dict) -> dict:
         if value is not None:
             out[name] = value
     if request == "doc_get_content" and sum(k in out for k in ("boundary_id", "chapter", "section", "pages")) != 1:
-        raise InvalidRequest("give exactly one of boundary_id, chapter, section, pages")
+        raise InvalidRequest("give exactly one locator", None, "one of boundary_id, chapter, section or pages")
     return out
 
 
