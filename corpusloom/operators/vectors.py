@@ -58,9 +58,9 @@ def with_neighbours(chunks: DataFrame, wanted: DataFrame, n: int = 1) -> DataFra
 
 
 def hash_embedding(text: Column, size: int = DIMENSION) -> Column:
-    """Deterministic feature-hashing embedding of length 1: a word adds plus or minus one at a place its hash names.
-    Words are found and hashed natively, Arrow batches of hashes are summed.  Null for null; zeros for a text without
-    words."""
+    """Deterministic feature-hashing embedding of length 1: a word adds plus or minus one at a place its hash names (the
+    first 60 bits of its MD5, so that any engine can give the same vectors).  Words are found and hashed natively, Arrow
+    batches of hashes are summed.  Null for null; zeros for a text without words."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def summed(marks: pd.Series) -> pd.Series:
@@ -75,7 +75,7 @@ def hash_embedding(text: Column, size: int = DIMENSION) -> Column:
             out.append((v / length if length > 0 else v).astype(np.float32))
         return pd.Series(out)
 
-    return summed(F.transform(words(text), lambda w: F.xxhash64(w)))
+    return summed(F.transform(words(text), lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("bigint")))
 
 
 def onnx_providers(available: list[str], forced: str | None = None) -> list[str]:
