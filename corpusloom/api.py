@@ -115,7 +115,8 @@ class Engine:
         path = files.resolve(file_path, self.root)
         files.check_file(path)
         found = files.extract_table(self.spark, path, table_index, max_rows)
-        return {"csv": files.table_csv(found, include_headers), "row_count": found["row_count"], "col_count": found["col_count"]}
+        about = {k: found[k] for k in ("table_index", "location", "headers", "row_count", "col_count")}
+        return {"file_path": file_path, **about, "csv": files.table_csv(found, include_headers)}
 
     def doc_toc(self, source_name: str, max_depth: int = 3) -> dict:
         self._known(source_name)
@@ -137,7 +138,7 @@ class Engine:
         row = found.first()
         if row is None or not row["content"]:
             raise NotFound("no content at that place", None, "see doc_toc for the boundaries of the source")
-        return _sparse(row)
+        return {"source_name": source_name} | {k: v for k, v in _sparse(row).items() if k != "source"}
 
 
 def _sparse(row) -> dict:

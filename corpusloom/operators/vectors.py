@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import words
+from corpusloom.runtime import ship, shipped
 
 DIMENSION = 384
 
@@ -79,11 +81,12 @@ def hash_embedding(text: Column, size: int = DIMENSION) -> Column:
 
 
 def onnx_providers(available: list[str], forced: str | None = None) -> list[str]:
-    """Execution providers in order: the forced device (``cpu``, ``coreml``, ``cuda``; default from ``ONNX_PROVIDER``),
-    else the best of those available, with the CPU behind it."""
+    """Execution providers in order: the forced device (``cpu``, ``coreml``, ``cuda``; default from ``ONNX_PROVIDER``) if
+    it is available, without a forced one the best of those available, and the CPU behind it."""
     names = {"cuda": "CUDAExecutionProvider", "coreml": "CoreMLExecutionProvider", "cpu": "CPUExecutionProvider"}
     wish = (forced or os.environ.get("ONNX_PROVIDER", "")).strip().lower()
-    first = names[wish] if wish in names else next((p for p in names.values() if p in available), names["cpu"])
+    wanted = [names[wish]] if wish in names else list(names.values())
+    first = next((p for p in wanted if p in available), names["cpu"])
     return [first] if first == names["cpu"] else [first, names["cpu"]]
 
 
@@ -92,22 +95,71 @@ def default_batch_size(provider: str) -> int:
     return {"CUDAExecutionProvider": 128, "CoreMLExecutionProvider": 64}.get(provider, 8)
 
 
-def embed_with_model(df: DataFrame, model_path: str, encode, text: str = "content", batch_size: int | None = None) -> DataFrame:
-    """``df`` with ``embedding`` from an ONNX model; ``encode(texts) -> dict of input arrays`` is the caller's tokenizer.
-    The session is opened once per Python worker, on the best device there."""
+@dataclass(frozen=True)
+class EmbeddingModel:
+    """An ONNX text encoder and its tokenizer file: what is needed to load it anywhere, and what it does."""
+
+    model_path: str
+    tokenizer_path: str
+    dimension: int = DIMENSION
+    #: Longest input in tokens, special ones included; longer texts are cut there, as the model demands.
+    max_tokens: int = 512
+    #: ``cls`` takes the first token's state, ``mean`` the average over the text's tokens.
+    pooling: str = "cls"
+    batch_size: int | None = None
+
+
+class Encoder:
+    """A loaded model: tokens, padded batches, pooling, vectors of length 1."""
+
+    def __init__(self, model: EmbeddingModel, model_path: str, tokenizer_path: str) -> None:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        self.model = model
+        self.devices = onnx_providers(onnxruntime.get_available_providers())
+        self.session = onnxruntime.InferenceSession(model_path, providers=self.devices)
+        self.inputs = {x.name for x in self.session.get_inputs()}
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.enable_truncation(model.max_tokens)
+        self.tokenizer.enable_padding()
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        size = self.model.batch_size or default_batch_size(self.devices[0])
+        out: list[list[float]] = []
+        for at in range(0, len(texts), size):
+            coded = self.tokenizer.encode_batch(texts[at : at + size])
+            mask = np.array([x.attention_mask for x in coded], np.int64)
+            feeds = {"input_ids": np.array([x.ids for x in coded], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+            states = self.session.run(None, {k: v for k, v in feeds.items() if k in self.inputs})[0]
+            if self.model.pooling == "mean":
+                states = (states * mask[..., None]).sum(1) / np.maximum(mask.sum(1), 1)[:, None]
+            else:
+                states = states[:, 0]
+            lengths = np.linalg.norm(states, axis=1, keepdims=True)
+            out += (states / np.where(lengths > 0, lengths, 1)).astype(np.float32).tolist()
+        return out
+
+
+_ENCODERS: dict[EmbeddingModel, Encoder] = {}
+
+
+def embed_with_model(df: DataFrame, model: EmbeddingModel, text: str = "content") -> DataFrame:
+    """``df`` with ``embedding``; null for a null text.  The files go along with the job, the model is loaded on first use
+    and once per Python worker, on the best device there."""
+    spark = df.sparkSession
+    files = ship(spark, model.model_path), ship(spark, model.tokenizer_path)
     schema = df.schema.simpleString()[7:-1] + ",embedding:array<float>"
 
     def run(batches):
-        import onnxruntime
         import pyarrow as pa
 
-        devices = onnx_providers(onnxruntime.get_available_providers())
-        session = onnxruntime.InferenceSession(model_path, providers=devices)
-        size = batch_size or default_batch_size(devices[0])
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
-            for at in range(0, len(texts), size):
-                out += [v.tolist() for v in session.run(None, encode(texts[at : at + size]))[0]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
+            if model not in _ENCODERS:
+                _ENCODERS[model] = Encoder(model, *map(shipped, files))
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            known = iter(_ENCODERS[model].embed([t for t in texts if t is not None]))
+            rows = [None if t is None else next(known) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
     return df.mapInArrow(run, schema)

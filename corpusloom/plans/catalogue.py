@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import tables as tab
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, content, hierarchy, search, structure, vectors
-from corpusloom.plans import corpus
+from corpusloom.plans import corpus, planted
 from corpusloom.runtime import table
 from corpusloom.schema import ChunkOptions, SearchParams
 from corpusloom.sources import files, store
@@ -280,7 +280,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         boundary_siblings, chunks_in_boundary, sentence_units, token_counts, doc_chunks, chunk_neighbours, context_snippets, content_by_boundary, content_by_pages,
         content_by_positions, content_by_title, title_match, knn, knn_one_source, knn_per_source, exact_search, fuzzy_search, token_search, hybrid_merge, hybrid_search,
         search_within_budget, expand_boundary, expand_siblings, markdown_rows, csv_rows, row_groups, read_truncated, source_names, list_sources, chunk_json, hash_embeddings, event_windows,
-    )}
+    )} | planted.queries()
 
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
@@ -558,4 +558,4 @@ def oracle_sql() -> dict[str, str]:
               when '.pptx' then 'pptx' when '.xlsx' then 'xlsx' when '.xls' then 'xlsx' end as read_as from documents where path is not null""",
         "list_sources": f"with {CHUNKS} select source, count(*) as chunks from rows where source is not null group by 1",
         "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n from events group by all",
-    }
+    } | planted.oracle_sql(CHUNKS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -58,3 +59,14 @@ def text_slices(batch, column: int, rows: int = 1000, size: int = 4_000_000):
         held += n
     if start < len(lengths):
         yield batch.slice(start, len(lengths) - start)
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a driver's file (a vocabulary, a model) along with the job; the name to open it by on an executor."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Path of a file sent by :func:`ship`, on whatever machine this runs."""
+    return SparkFiles.get(name)

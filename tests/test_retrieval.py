@@ -93,7 +93,7 @@ def test_devices(monkeypatch):
     cpu, cuda, coreml = "CPUExecutionProvider", "CUDAExecutionProvider", "CoreMLExecutionProvider"
     assert vectors.onnx_providers([cpu]) == [cpu] and vectors.onnx_providers([cpu, coreml, cuda]) == [cuda, cpu] and vectors.onnx_providers([cpu, cuda], "cpu") == [cpu]
     monkeypatch.setenv("ONNX_PROVIDER", "coreml")
-    assert vectors.onnx_providers([cpu]) == [coreml, cpu] and [vectors.default_batch_size(p) for p in (cuda, coreml, cpu)] == [128, 64, 8]
+    assert vectors.onnx_providers([cpu]) == [cpu] and vectors.onnx_providers([cpu, coreml, cuda]) == [coreml, cpu] and [vectors.default_batch_size(p) for p in (cuda, coreml, cpu)] == [128, 64, 8]
 
 
 TEXTS = ["Revenue growth was strong this quarter", "The weather is nice", "Gardening needs revenue of patience", "", None, "REVENUE", "growht of revenue"]
