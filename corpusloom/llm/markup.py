@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 from html.entities import html5
 
 import pyarrow as pa
@@ -54,17 +55,19 @@ SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.04, 0.12, 0.6
 #: A sign of every rule below: a text without a match has no mark.
 SUSPECT = re.compile(r"[<\\`*_|~{\[&$]|==|''|^ {0,3}(?:[#>=]|-{3})", re.M)
 HELD = re.compile("\x00(\\d+)\x00")
-CODE = re.compile(
-    r"^[ \t]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<md>.*?)^[ \t]{0,3}(?P=fence)[ \t]*$"
-    r"|<pre\b[^>]*>(?P<pre>.*?)</pre\s*>|<code\b[^>]*>(?P<html>[^<]*\n.*?)</code\s*>"
-    r"|\\begin\{(?P<env>verbatim\*?|lstlisting|minted|Verbatim)\}(?:\[[^\]]*\])?(?P<tex>.*?)\\end\{(?P=env)\}",
-    re.S | re.M | re.I,
+#: Alternatives of code blocks and of formulas with the text that closes each; one without its closing text is not tried.
+CODE_PARTS = (
+    ("\n", r"^[ \t]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<md>.*?)^[ \t]{0,3}(?P=fence)[ \t]*$"),
+    ("</pre", r"<pre\b[^>]*>(?P<pre>.*?)</pre\s*>"),
+    ("</code", r"<code\b[^>]*>(?P<html>[^<]*\n.*?)</code\s*>"),
+    ("\\end{", r"\\begin\{(?P<env>verbatim\*?|lstlisting|minted|Verbatim)\}(?:\[[^\]]*\])?(?P<tex>.*?)\\end\{(?P=env)\}"),
 )
-FORMULA = re.compile(
-    r"\\begin\{(?P<env>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(?P<block>.*?)\\end\{(?P=env)\}"
-    r"|\\\[(?P<display>[^\]]*?[=\\^_+<>][^\]]*?)\\\]|\\\((?P<inline>[^()\n]*?[=\\^_+\w][^\n]*?)\\\)"
-    r"|\$\$(?P<double>[^$]+)\$\$|(?<![\\$\w])\$(?P<dollar>(?!\s)(?:[^$\n]|\n(?!\s*\n))*?(?<![\s\\]))\$(?![\w$])",
-    re.S,
+FORMULA_PARTS = (
+    ("\\end{", r"\\begin\{(?P<env>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(?P<block>.*?)\\end\{(?P=env)\}"),
+    ("\\]", r"\\\[(?P<display>[^\]]*?[=\\^_+<>][^\]]*?)\\\]"),
+    ("\\)", r"\\\((?P<inline>[^()\n]*?[=\\^_+\w][^\n]*?)\\\)"),
+    ("$$", r"\$\$(?P<double>[^$]+)\$\$"),
+    ("$", r"(?<![\\$\w])\$(?P<dollar>(?!\s)(?:[^$\n]|\n(?!\s*\n))*?(?<![\s\\]))\$(?![\w$])"),
 )
 MATH_SIGN = re.compile(r"[\\^_{}=]|^[A-Za-z]$|^[A-Za-z]\s*[-+<>]\s*\w+$")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -127,6 +130,37 @@ def without_templates(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+@cache
+def _either(parts: tuple[str, ...], flags: int) -> re.Pattern:
+    return re.compile("|".join(parts), flags)
+
+
+def replace_closed(closers: tuple[str, ...], pattern: re.Pattern, by, text: str) -> str:
+    """``pattern.sub`` over the text up to the line of the last place where a mark can close; beyond it no opening mark has
+    to look for one, so many unclosed marks cost no more than closed ones."""
+    end = -1
+    for m in _either(tuple(map(re.escape, closers)), re.I).finditer(text):
+        end = m.start()
+    if end < 0:
+        return text
+    stop = text.find("\n", end + 1)
+    stop = len(text) if stop < 0 else stop
+    return pattern.sub(by, text[:stop]) + text[stop:]
+
+
+def replace_any(parts: tuple[tuple[str, str], ...], flags: int, by, text: str) -> str:
+    """As :func:`replace_closed`, with those alternatives whose closing text occurs."""
+    used = [(c, p) for c, p in parts if _either((re.escape(c),), re.I).search(text)]
+    if not used:
+        return text
+    return replace_closed(tuple(c for c, _ in used), _either(tuple(p for _, p in used), flags), by, text)
+
+
+def group(m: re.Match, name: str) -> str | None:
+    """A named group, null in patterns that lack it."""
+    return m[name] if name in m.re.groupindex else None
+
+
 class Reader:
     """Blocks of one text and the markup languages met on the way."""
 
@@ -134,7 +168,7 @@ class Reader:
         self.found: set[str] = set()
         self.held: list[tuple[str, str]] = []
         self.linked = 0
-        text = CODE.sub(self._code, text)
+        text = replace_any(CODE_PARTS, re.S | re.M | re.I, self._code, text)
         text = self._html(text)
         text = self._latex(text)
         text = self._wiki(text)
@@ -146,7 +180,7 @@ class Reader:
 
     def _code(self, m: re.Match) -> str:
         for name, language in (("md", "markdown"), ("pre", "html"), ("html", "html"), ("tex", "latex")):
-            if (body := m[name]) is not None:
+            if (body := group(m, name)) is not None:
                 self.found.add(language)
                 if language == "html":
                     body = html.unescape(TAG.sub("", body))
@@ -155,9 +189,10 @@ class Reader:
 
     def _html(self, text: str) -> str:
         if "<" in text:
-            new = DROPPED.sub(" ", COMMENT.sub(" ", text))
-            new = HTML_HEADING.sub(lambda m: "\n\n" + self._hold("heading" + m[1], TAG.sub("", m[2]).strip()) + "\n\n", new)
-            new = HTML_LINK.sub(lambda m: self._link(m[1]), new)
+            new = replace_closed(("-->",), COMMENT, " ", text)
+            new = replace_closed(("</script", "</style"), DROPPED, " ", new)
+            new = replace_closed(("</h",), HTML_HEADING, lambda m: "\n\n" + self._hold("heading" + m[1], TAG.sub("", m[2]).strip()) + "\n\n", new)
+            new = replace_closed(("</a",), HTML_LINK, lambda m: self._link(m[1]), new)
             new = re.sub(r"<li\b[^>]*>\s*", "\n\n\x01", new, flags=re.I)
             new = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ", new, flags=re.I)
             new = re.sub(r"<tr\b[^>]*>\s*", "\n\x02", new, flags=re.I)
@@ -181,7 +216,7 @@ class Reader:
 
     def _latex(self, text: str) -> str:
         if "$" in text or "\\" in text:
-            text = FORMULA.sub(self._formula, text)
+            text = replace_any(FORMULA_PARTS, re.S, self._formula, text)
         if "\\" in text:
             new = LATEX_HEADING.sub(lambda m: "\n\n" + self._hold("heading" + str({"part": 1, "chapter": 1, "section": 2, "subsection": 3}.get(m[1], 4)), m[2].strip()) + "\n\n", text)
             new = re.sub(r"(\\begin\{tabular\*?\}.*?\\end\{tabular\*?\})", lambda m: re.sub(r"\\\\[ \t]*\n?", "\n\x02", m[1]).replace(" & ", " | "), new, flags=re.S)
@@ -197,18 +232,19 @@ class Reader:
         return text
 
     def _formula(self, m: re.Match) -> str:
-        body = next(b for b in (m["block"], m["display"], m["inline"], m["double"], m["dollar"]) if b is not None)
-        if m["dollar"] is not None and not MATH_SIGN.search(body) or m["dollar"] is not None and body[0].isdigit() and not re.search(r"[\\^_{}]", body):
+        body = next(b for b in (group(m, k) for k in ("block", "display", "inline", "double", "dollar")) if b is not None)
+        dollar = group(m, "dollar") is not None
+        if dollar and (not MATH_SIGN.search(body) or body[0].isdigit() and not re.search(r"[\\^_{}]", body)):
             return m[0]
         self.found.add("latex")
-        display = m["dollar"] is None and m["inline"] is None
+        display = not dollar and group(m, "inline") is None
         held = self._hold("formula", re.sub(r"\s*\\label\{[^{}]*\}\s*", " ", body).strip())
         return f"\n\n{held}\n\n" if display else held
 
     def _wiki(self, text: str) -> str:
         new = text
         if "{|" in new:
-            new = WIKI_TABLE.sub(self._table, new)
+            new = replace_closed(("|}",), WIKI_TABLE, self._table, new)
         if "==" in new:
             new = WIKI_HEADING.sub(lambda m: "\n\n" + self._hold(f"heading{len(m[1])}", m[2]) + "\n\n", new)
         if "[[" in new:
@@ -356,13 +392,17 @@ def judge(blocks: list[tuple[str, str]]) -> list[bool]:
         else:
             labels.append("bad" if link > LINKS / 2 else "open")
     final = labels[:]
-    decided = [k for k, x in enumerate(labels) if x in ("good", "bad")]
+    nearest: list[list[str]] = [[] for _ in labels]  # labels of the nearest decided block on either side
+    for ordered in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last = None
+        for k in ordered:
+            if labels[k] in ("good", "bad"):
+                last = labels[k]
+            elif last is not None:
+                nearest[k].append(last)
     for k, label in enumerate(labels):
         if label == "open":
-            left = max((d for d in decided if d < k), default=None)
-            right = min((d for d in decided if d > k), default=None)
-            near = [labels[d] for d in (left, right) if d is not None]
-            final[k] = "bad" if near and set(near) == {"bad"} else "good"
+            final[k] = "bad" if nearest[k] and set(nearest[k]) == {"bad"} else "good"
     following = "good"
     for k in range(len(labels) - 1, -1, -1):
         if labels[k] == "heading":

@@ -229,3 +229,28 @@ def test_held_out_accuracy():
         model = reading_level.LevelModel([r for i, r in enumerate(rows) if i % 4 != fold])
         right += sum(model.judge(t, None)[:2] == (lang, level) for i, (lang, level, t) in enumerate(rows) if i % 4 == fold)
     assert right / len(rows) >= 0.95
+
+
+def test_two_passes_drop_boilerplate():
+    prose = "The pump in the hall has to be cleaned by the crew before it is started again, and that is the rule for all of the shifts in this plant."
+    links = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/p'>Products</a></li></ul></nav>"
+    page = f"{links}<p>Search</p><ul><li><a href='/x'>Imprint</a></li></ul><h2>Care of pumps</h2><p>{prose}</p><p>Done.</p><p>{prose}</p><div><a href='/a'>Previous</a> | <a href='/b'>Next</a></div><p>Share</p><div><a href='/f'>Follow our page</a></div>"
+    text, found, kept, dropped = markup.convert(page)
+    assert text == f"## Care of pumps\n\n{prose}\n\nDone.\n\n{prose}" and found == ["html"] and (kept, dropped) == (4, 7)
+    text, found, kept, dropped = markup.convert(f"[Home](/) | [About](/about)\n\nMenu\n\n[Login](/in)\n\n# Title\n\n{prose}\n\nSee [the manual](/m) for it.")
+    assert text == f"# Title\n\n{prose}\n\nSee the manual for it." and dropped == 3
+    blocks = [("paragraph", prose), ("paragraph", "Share"), ("paragraph", prose)]
+    assert markup.judge(blocks) == [True, True, True]  # the same short block between two of prose stays
+    link = ("paragraph", "\x03Follow our page\x04")
+    assert markup.judge([link, ("paragraph", "Share"), link]) == [False, False, False]
+    assert markup.judge([link, ("heading2", "More"), link, ("heading2", "Care"), blocks[0]]) == [False, False, False, True, True]
+
+
+def test_marks_in_any_case_and_unclosed_ones():
+    assert markup.convert("a <PRE>x\ny</Pre> b")[0] == "a\n\n```\nx\ny\n```\n\nb"
+    import time
+
+    began = time.time()
+    for opening in ("<!-- ", "<script> ", "<pre> ", "<a> ", "\\begin{verbatim} ", "\\( ", "\\[ ", "''a ", "<h1> ", "{| ", "**a "):
+        markup.convert(opening * 40_000)
+    assert time.time() - began < 20
