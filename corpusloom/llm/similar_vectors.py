@@ -9,9 +9,10 @@ together in one task, with their full coordinates: of every bucket a visitor tak
 and the k best of all buckets are its neighbours, both directions of a pair counting.  The buckets are dealt to as many
 tasks as keep ``ENTRIES`` visits each, and a vector goes once to a task, whatever number of its buckets lie there.
 
-A bucket with more than ``MEMBERS`` vectors is salted: its vectors are spread over several groups and every visitor
-goes to each, so no group grows with the bucket and nothing is dropped.  Vectors with the same coordinates are one
-class; their members are written out at the end, at most k + 1 of a class per vector, smallest identifiers first.
+A bucket with more than ``MEMBERS`` stored vectors or visits is cut into blocks of both: every block of stored vectors
+meets every block of visitors in a group of its own, so no group holds more than about two blocks and nothing is dropped.
+Vectors with the same coordinates are one class; their members are written out at the end, at most k + 1 of a class per
+vector, smallest identifiers first.
 
 ``neighbours`` finds what reaches a cosine.  The k most similar vectors at any distance are too far apart for hashing to
 tell them from the rest (in 64 dimensions a fifth neighbour's cosine is often under 0.6), so ``nearest`` compares the
@@ -112,43 +113,67 @@ def _units(batch: pa.RecordBatch, column: int, size: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _spread(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+def _spread(ids: np.ndarray, seed: int) -> np.ndarray:
+    mixed = (ids.astype(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int64)
 
 
-def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: dict[int, int], parts: int) -> DataFrame:
-    """Rows (part, id, visits, v): a vector and its groups, of those that are dealt to one task.
+#: Roles of a vector in a group, the last bits of the group's number.
+STORED, VISITS = np.uint64(1), np.uint64(2)
 
-    A group is a bucket or, where that is hot, one of its salts; the last bit of its number tells that the vector is stored there.
+
+def _groups(ids: np.ndarray, row: np.ndarray, name: np.ndarray, home: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group with roles) of bucket entries.  Every entry visits, home entries are stored as well.
+
+    ``hot`` are the numbers of crowded buckets, their blocks of stored vectors and of visitors: there a visitor goes to its
+    block of visitors with every block of stored ones, a stored vector to its block with every block of visitors.
     """
-    hot_keys = np.array(sorted(hot), np.int64)
-    hot_parts = np.array([hot[k] for k in hot_keys.tolist()], np.int64)
+    keys, stored_blocks, visit_blocks = hot
+    down = across = np.ones(len(name), np.int64)
+    if len(keys):
+        where = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
+        crowded = keys[where] == name
+        down, across = np.where(crowded, stored_blocks[where], 1), np.where(crowded, visit_blocks[where], 1)
+    own_down, own_across = _spread(ids[row], 1) % down, _spread(ids[row], 2) % across
+
+    def copies(entries: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.repeat(entries, times)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+
+    visitors, to_down = copies(np.arange(len(name)), down)
+    stored, to_across = copies(np.flatnonzero(home), across[home])
+    other = to_across != own_across[stored]  # where it is stored and visits at once, one entry tells both
+    stored, to_across = stored[other], to_across[other]
+    entry = np.concatenate([visitors, stored])
+    block = np.concatenate([to_down * across[visitors] + own_across[visitors], own_down[stored] * across[stored] + to_across])
+    group = name[entry].astype(np.uint64) + block.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    group ^= group >> np.uint64(29)
+    group *= np.uint64(0xBF58476D1CE4E5B9)
+    group ^= group >> np.uint64(32)
+    both = np.where(home[visitors] & (to_down == own_down[visitors]), VISITS | STORED, VISITS)
+    role = np.concatenate([both, np.full(len(stored), STORED)])
+    return row[entry], group & np.uint64(0xFFFFFFFFFFFFFFFC) | role
+
+
+def _bucket_names(hasher: Hasher, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and whether it is the home one, of all buckets that some vectors look into."""
+    home, visits = hasher.home(unit), hasher.visits(unit)
+    n = len(unit)
+    row = np.concatenate([np.repeat(np.arange(n), TABLES), np.repeat(np.arange(n), visits.shape[1] * visits.shape[2])])
+    return row, np.concatenate([home.ravel(), visits.ravel()]), np.arange(home.size + visits.size) < home.size
+
+
+def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """Rows (part, id, visits, v): a vector and its groups, of those that are dealt to one task, with its roles in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
-                ids, unit = batch.column(0).to_numpy(), _units(batch, 1, size)
-                home, visits = hasher.home(unit), hasher.visits(unit)
-                n = len(ids)
-                name = np.concatenate([home.ravel(), visits.ravel()])
-                row = np.concatenate([np.repeat(np.arange(n), TABLES), np.repeat(np.arange(n), visits.shape[1] * visits.shape[2])])
-                stored = np.arange(len(name)) < home.size
-                salt = np.zeros(len(name), np.int64)
-                if len(hot_keys):
-                    where = np.minimum(np.searchsorted(hot_keys, name), len(hot_keys) - 1)
-                    turns = np.where(hot_keys[where] == name, hot_parts[where], 1)
-                    own = _spread(ids[row]) % turns
-                    copies = np.repeat(np.arange(len(name)), turns)
-                    turn = np.arange(len(copies)) - np.repeat(np.cumsum(turns) - turns, turns)
-                    stored = stored[copies] & (turn == own[copies])
-                    name, row, salt = name[copies], row[copies], turn
-                group = name.astype(np.uint64) + salt.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                group ^= group >> np.uint64(29)
-                group *= np.uint64(0xBF58476D1CE4E5B9)
-                group ^= group >> np.uint64(32)
+                ids, n = batch.column(0).to_numpy(), batch.num_rows
+                row, group = _groups(ids, *_bucket_names(hasher, _units(batch, 1, size)), hot)
                 target = ((group >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * n + row
-                group = (group & np.uint64(0xFFFFFFFFFFFFFFFE)) | stored.astype(np.uint64)
                 order = np.argsort(target, kind="stable")
                 target, group = target[order], np.ascontiguousarray(group[order])
                 heads = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
@@ -165,24 +190,25 @@ def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: dict[int, int],
 def _candidates(size: int, k: int, least: float):
     """Of each group: for each visitor the ``k`` most similar stored vectors of the least cosine or more."""
 
-    def one(ids: np.ndarray, stored: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows of one group, by id."""
-        held = np.flatnonzero(stored)
-        place = np.cumsum(stored) - 1
+    def one(ids: np.ndarray, stored: np.ndarray, asks: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of one group, by id; a vector that is stored and visits has a row for each role."""
+        held, queries = np.flatnonzero(stored), np.flatnonzero(asks)
         matrix = unit[held].T
-        rough, rough_matrix = unit.astype(np.float32), matrix.astype(np.float32)
-        for at in range(0, len(ids), QUERY_SLICE):
+        rough, rough_matrix = unit[queries].astype(np.float32), matrix.astype(np.float32)
+        mine = np.searchsorted(ids[held], ids[queries])  # a visitor's own place among the stored ones
+        mine = np.where(ids[held][np.minimum(mine, len(held) - 1)] == ids[queries], mine, -1)
+        for at in range(0, len(queries), QUERY_SLICE):
+            own = mine[at : at + QUERY_SLICE]
             near = rough[at : at + QUERY_SLICE] @ rough_matrix
-            self_ = np.flatnonzero(stored[at : at + QUERY_SLICE])
-            near[self_, place[at + self_]] = -2
+            near[np.flatnonzero(own >= 0), own[own >= 0]] = -2
             rows = at + np.flatnonzero(near.max(1) >= least - SLACK)
             if len(rows):
-                near = np.round(unit[rows] @ matrix, DIGITS)
-                self_ = np.flatnonzero(stored[rows])
-                near[self_, place[rows[self_]]] = -2
+                near = np.round(unit[queries[rows]] @ matrix, DIGITS)
+                own = mine[rows]
+                near[np.flatnonzero(own >= 0), own[own >= 0]] = -2
                 near[near < least] = -2
                 i, j = np.nonzero(_best(near, k))
-                yield ids[rows[i]], ids[held[j]], near[i, j]
+                yield ids[queries[rows[i]]], ids[held[j]], near[i, j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, visits, counts, vectors = [], [], [], []
@@ -199,12 +225,12 @@ def _candidates(size: int, k: int, least: float):
         del vectors
         name, row = np.concatenate(visits), np.repeat(np.arange(len(id_)), np.concatenate(counts))
         by_id = np.argsort(np.argsort(id_))
-        order = np.lexsort((by_id[row], name >> np.uint64(1)))
+        order = np.lexsort((by_id[row], name >> np.uint64(2)))
         name, row = name[order], row[order]
-        group, stored = name >> np.uint64(1), (name & np.uint64(1)).astype(bool)
+        group, stored, asks = name >> np.uint64(2), (name & STORED) > 0, (name & VISITS) > 0
         heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         tails = np.append(heads[1:], len(group))
-        some = (np.add.reduceat(stored.astype(np.int64), heads) > 0) & (tails - heads > 1)
+        some = (np.add.reduceat(stored.astype(np.int64), heads) > 0) & (np.add.reduceat(asks.astype(np.int64), heads) > 0)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -216,7 +242,7 @@ def _candidates(size: int, k: int, least: float):
         for a, b in zip(heads[some].tolist(), tails[some].tolist()):
             unit = v[row[a:b]].astype(np.float64)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            for x in one(id_[row[a:b]], stored[a:b], unit):
+            for x in one(id_[row[a:b]], stored[a:b], asks[a:b], unit):
                 found.append(x)
                 held += len(x[0])
             if held > ENTRIES:
@@ -309,6 +335,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, size: int = 64)
     return _members(own, classes, scored, k)
 
 
+def _crowded(reps: DataFrame, hasher: Hasher, size: int, total: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """The buckets with more stored vectors or visits than a block holds, with their numbers of blocks of both, and the
+    number of all entries.  A block grows with the corpus so far that at most ``HOT_KEYS`` buckets can be crowded."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                _, name, home = _bucket_names(hasher, _units(whole.slice(at, 4000), 0, size))
+                keys, which = np.unique(name, return_inverse=True)  # counted here first: what is sent on is much less
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(which[home], minlength=len(keys))), pa.array(np.bincount(which))], names=["bucket", "stored", "visits"])
+
+    visits = TABLES * (len(hasher.probes) + 1) * total
+    block = max(MEMBERS, math.ceil(visits / HOT_KEYS))
+    sizes = reps.select("v").mapInArrow(counts, "bucket bigint, stored bigint, visits bigint").groupBy("bucket").agg(F.sum("stored").alias("stored"), F.sum("visits").alias("visits"))
+    rows = sizes.where(F.col("visits") > block).orderBy("bucket").collect()  # at most HOT_KEYS
+    keys, stored, visiting = (np.array([r[c] for r in rows], np.int64) for c in ("bucket", "stored", "visits"))
+    down, across = np.maximum(1, -(-stored // block)), -(-visiting // block)
+    return (keys, down, across), visits + int((visiting * (down - 1) + stored * across).sum())
+
+
 def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 64) -> DataFrame:
     """Columns id, other, cosine, rank (1 = most similar): up to k most similar vectors of cosine ``least`` or more.
 
@@ -319,16 +365,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 6
     total = keyed.count()
     hasher = Hasher(size, total)
 
-    def home_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(hasher.home(_units(batch, 0, size)).ravel())], names=["bucket"])
-
-    members = max(MEMBERS, math.ceil(TABLES * total / HOT_KEYS))  # so at most HOT_KEYS buckets are hot
-    sizes = reps.select("v").mapInArrow(home_names, "bucket bigint").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > members)
-    crowded = sizes.collect()
-    hot = {r["bucket"]: -(-r["n"] // members) for r in crowded}
-    visits = TABLES * total * (len(hasher.probes) + 1) + sum(r["n"] * hot[r["bucket"]] for r in crowded)
+    hot, visits = _crowded(reps, hasher, size, total)
     parts = max(width(spark), -(-visits // ENTRIES))
     pairs = (
         _entries(reps, hasher, size, hot, parts)

@@ -41,6 +41,42 @@ def test_similar_pairs(spark):
     assert len(want) > 500 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_groups_of_a_crowd_stay_bounded(spark):
+    """One crowd of 10,000, 20,000 and 40,000 vectors: no group grows with it, and each stored vector meets each visitor."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    for n in (10_000, 20_000, 40_000):
+        crowd = (centre + 0.02 * rng.standard_normal((n, 64))).astype(np.float32)
+        rows = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(crowd)), "id bigint, v array<float>").repartition(4).cache()
+        hasher = sv.Hasher(64, n)
+        hot, entries = sv._crowded(rows, hasher, 64, n)
+        assert len(hot[0])
+        sizes: dict[int, int] = {}
+        total = 0
+        for r in sv._entries(rows, hasher, 64, hot, 8).select("visits").toLocalIterator():
+            groups = np.frombuffer(r["visits"], np.uint64) >> np.uint64(2)
+            total += len(groups)
+            for g in groups.tolist():
+                sizes[g] = sizes.get(g, 0) + 1
+        assert max(sizes.values()) <= 2.5 * sv.MEMBERS and total <= entries
+        rows.unpersist()
+
+
+def test_blocks_meet_once():
+    ids = np.arange(500)
+    name = np.full(1000, 7)
+    home = np.arange(1000) < 500
+    row, group = sv._groups(ids, np.tile(ids, 2), name, home, (np.array([7]), np.array([3]), np.array([4])))
+    stored, visits = (group & sv.STORED) > 0, (group & sv.VISITS) > 0
+    base = group >> np.uint64(2)
+    assert len(set(base.tolist())) == 12
+    met = np.zeros((500, 500), int)
+    for g in set(base.tolist()):
+        own = base == g
+        met[np.ix_(np.unique(row[own & stored]), np.unique(row[own & visits]))] += 1
+    assert (met == 1).all()
+
+
 def test_copies_and_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(sv, "MEMBERS", 20)  # makes every larger bucket a salted one
     rng = np.random.default_rng(4)
