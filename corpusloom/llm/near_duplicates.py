@@ -15,8 +15,9 @@ decides.
 T, for the lists and for the sketch, leaves three standard deviations below the threshold, so a pair can be missed:
 measured recall against brute force is in the README.
 
-Exact copies are one class from the start and are only written out in ``pairs``.  A long list (of a hot group of near
-copies) is cut into blocks of which all pairs are compared, each pair of blocks as a task of its own.
+Exact copies are one class from the start and are only written out in ``copy_pairs``.  A long list (of a hot group of
+near copies) is cut, by its true length, into blocks of which all pairs are compared, each pair of blocks as a group of
+its own.
 
 Defined cases: null contents and records with fewer than ``least`` letters and digits are in no group; repeated rows
 count once; a null key is left out; an empty table gives an empty result.
@@ -24,8 +25,10 @@ count once; a null key is left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -42,10 +45,13 @@ SHORT = SLOTS - T + 1
 #: Classes and bits of the sketch; a candidate pair must agree in 128 * (0.6 + 0.4 / 8) less three deviations of 5.4.
 FINE, PLANES, REACH = 128, 3, 67
 SKETCH_WORDS = FINE * PLANES // 64
-#: The counting filter: 2^24 counters of 16 bits, a fixed 32 MB; collisions only make a list look longer to everyone.
-FILTER_BITS, FILTER_BLOCKS = 24, 256
-#: Longest list (or block of one) that is compared at once.
-LIST_BLOCK = 4096
+#: The counting filter has a counter of 16 bits for each list, 2^26 (128 MB) at most; collisions only make a list look
+#: longer to everyone, so beyond that more lists are merged than need be, and none is lost.
+LEAST_BITS, MOST_BITS, FILTER_BLOCKS = 16, 26, 256
+#: Longest list (or block of one) that is compared at once, and most lists that can be longer (blocks grow beyond that).
+LIST_BLOCK, LONG_LISTS = 4096, 50_000
+#: Classes of which a task remembers that it has sent their signature.
+SEEN = 200_000
 #: Most candidate pairs whose records' keys are broadcast to fetch the texts (some tens of MB).
 FEW = 200_000
 NONE = np.uint32(0xFFFFFFFF)
@@ -92,9 +98,9 @@ def _lists(sig: np.ndarray) -> np.ndarray:
     return sig.astype(np.uint64) | (np.arange(SLOTS, dtype=np.uint64) << np.uint64(32))
 
 
-def _counter(lists: np.ndarray) -> np.ndarray:
+def _counter(lists: np.ndarray, bits: int) -> np.ndarray:
     mixed = lists * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def fingerprints(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
@@ -114,6 +120,8 @@ def fingerprints(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 ids.append(i)
                 classes.append(digest)
                 sigs.append(None if digest in seen else signature(code))
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(digest)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "copy_class", "signature"])
 
@@ -125,17 +133,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x[: 4 * SLOTS] for x in column.to_pylist()), np.uint32).reshape(-1, SLOTS)
 
 
-def list_lengths(prints: DataFrame) -> np.ndarray:
-    """The counting filter over the lists of all records: 2^24 saturating counters, the same size for any corpus."""
+@dataclass(frozen=True)
+class Lengths:
+    """How many records are in a list, as far as it matters: counters for the order, true numbers for the long ones."""
+
+    bits: int
+    counters: np.ndarray
+    block: int
+    long: np.ndarray  # names of the lists longer than a block, sorted
+    numbers: np.ndarray
+
+    def of(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, number of blocks) of lists."""
+        n = self.counters[_counter(lists, self.bits)].astype(np.int64)
+        blocks = np.ones(lists.shape, np.int64)
+        if len(self.long):
+            at = np.minimum(np.searchsorted(self.long, lists), len(self.long) - 1)
+            known = self.long[at] == lists
+            n = np.where(known, self.numbers[at], n)
+            blocks = np.where(known, -(-self.numbers[at] // self.block), 1)
+        return n, blocks
+
+
+def list_lengths(prints: DataFrame) -> Lengths:
+    """A counter for each list of a record, in a filter sized by their number, and the true lengths of the long lists."""
+    signed = prints.where("signature is not null").select("signature")
+    entries = signed.count() * SLOTS
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(entries, 1)))))
+    block = max(LIST_BLOCK, -(-entries // LONG_LISTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FILTER_BITS, np.uint16)
+        total = np.zeros(1 << bits, np.uint16)
         any_row = False
         for batch in batches:
             if batch.num_rows:
                 any_row = True
                 sig = _matrix(batch.column(0))
-                at, n = np.unique(_counter(_lists(sig)[sig != NONE]), return_counts=True)
+                at, n = np.unique(_counter(_lists(sig)[sig != NONE], bits), return_counts=True)
                 total[at] = np.minimum(total[at].astype(np.int64) + n, 65535)
         if any_row:
             parts = total.reshape(FILTER_BLOCKS, -1)
@@ -151,38 +185,54 @@ def list_lengths(prints: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([zlib.compress(t.astype(np.uint16).tobytes(), 1) for t in totals.values()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    spread = prints.where("signature is not null").select("signature").mapInArrow(count, schema).repartition(min(FILTER_BLOCKS, width(prints.sparkSession)), "block")
-    out = np.zeros((FILTER_BLOCKS, (1 << FILTER_BITS) // FILTER_BLOCKS), np.uint16)
+    spread = signed.mapInArrow(count, schema).repartition(min(FILTER_BLOCKS, width(prints.sparkSession)), "block")
+    out = np.zeros((FILTER_BLOCKS, (1 << bits) // FILTER_BLOCKS), np.uint16)
     for row in spread.mapInArrow(add, schema).toLocalIterator():
         out[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
-    return out.ravel()
+    counters = out.ravel()
+    suspects = min(block, 65534)  # a list can only be long if its counter is
+    if not (counters > suspects).any():
+        return Lengths(bits, counters, block, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sent = prints.sparkSession.sparkContext.broadcast(np.packbits(counters > suspects))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            if batch.num_rows:
+                sig = _matrix(batch.column(0))
+                lists = _lists(sig)[sig != NONE]
+                keys, n = np.unique(lists[flags[_counter(lists, bits)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["list", "n"])
+
+    true = signed.mapInArrow(name, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+    rows = sorted(true.collect(), key=lambda r: r["list"])  # at most LONG_LISTS
+    return Lengths(bits, counters, block, np.array([r["list"] for r in rows], np.uint64), np.array([r["n"] for r in rows], np.int64))
 
 
 def _postings(prints: DataFrame, lengths) -> DataFrame:
     """One row per record and short list: list, block pair, side, the class's name and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = lengths.value
+        known = lengths.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 sig = _matrix(batch.column(1))
                 lists = _lists(sig)
-                n = counts[_counter(lists)].astype(np.int64)
-                n[sig == NONE] = 1 << 40
+                n, blocks = known.of(lists)
+                n[sig == NONE] = 1 << 60
                 # by length, then by the list's own hash, so that all records agree on the order
                 order = np.lexsort((lists * np.uint64(0xD6E8FEB86659FD93), n), axis=1)[:, :SHORT]
-                n, chosen = np.take_along_axis(n, order, 1), np.take_along_axis(lists, order, 1)
-                row, col = np.nonzero((n > 1) & (n < 1 << 40))  # a list of one record has its place in the order, but no pair
+                n, chosen, blocks = (np.take_along_axis(x, order, 1) for x in (n, lists, blocks))
+                row, col = np.nonzero((n > 1) & (n < 1 << 60))  # a list of one record has its place in the order, but no pair
                 names = batch.column(0).to_pylist()
                 packed = [x[4 * SLOTS :] for x in batch.column(1).to_pylist()]
                 name, part, side, ids, sketches = [], [], [], [], []
-                for r, l, k in zip(row.tolist(), chosen[row, col].astype(np.int64).tolist(), n[row, col].tolist()):
-                    blocks = -(-k // LIST_BLOCK)
-                    mine = (names[r] & 0x7FFFFFFF) % blocks
-                    for other in range(blocks):
+                for r, l, k in zip(row.tolist(), chosen[row, col].astype(np.int64).tolist(), blocks[row, col].tolist()):
+                    mine = (names[r] & 0x7FFFFFFF) % k
+                    for other in range(k):
                         name.append(l)
-                        part.append(min(mine, other) * blocks + max(mine, other))
+                        part.append(min(mine, other) * k + max(mine, other))
                         side.append(mine > other)
                         ids.append(names[r])
                         sketches.append(packed[r])
@@ -277,7 +327,7 @@ def copy_links(df: DataFrame, key: str = "chunk_id", text: str = "content", leas
     # A short name travels with the postings.  Should two classes share one, both are looked up and the exact count tells.
     prints = found.withColumn("name", F.xxhash64("copy_class"))
     members = found.groupBy("id").agg(F.min("copy_class").alias("copy_class"))
-    lengths = spark.sparkContext.broadcast(list_lengths(prints))  # a fixed 32 MB
+    lengths = spark.sparkContext.broadcast(list_lengths(prints))  # 128 MB of counters and 50,000 long lists at most
     merged = (
         _postings(prints, lengths)
         .repartition(width(spark), "list", "part")

@@ -198,10 +198,30 @@ def test_insertions_into_a_hot_family(spark):
     assert len(crossing) > 500 and len(crossing & got) >= 0.99 * len(crossing) and got <= want
 
 
+def test_lists_beyond_the_counters(spark):
+    """A list of 70,000 records, more than a counter holds: it gets its true length, and no group grows beyond two blocks."""
+    import pandas as pd
+
+    n, rng = 70_000, np.random.default_rng(8)
+    sig = rng.integers(0, 2**31, (n, nd.SLOTS + 2 * nd.SKETCH_WORDS), dtype=np.uint32) * np.uint32(2)
+    sig[:, 5] = 4242
+    sig[:, 10:40] = nd.NONE  # few grams, so that the long list is among those to be merged
+    prints = spark.createDataFrame(pd.DataFrame({"name": rng.integers(-(2**62), 2**62, n), "signature": [r.tobytes() for r in sig]}), "name bigint, signature binary").repartition(4).cache()
+    lengths = nd.list_lengths(prints)
+    assert lengths.numbers.tolist() == [n] and lengths.long.tolist() == [5 << 32 | 4242]
+    assert [x.tolist() for x in lengths.of(np.array([[5 << 32 | 4242]], np.uint64))] == [[[n]], [[18]]]
+    sent = nd._postings(prints, spark.sparkContext.broadcast(lengths)).where(f"list = {5 << 32 | 4242}")
+    groups = [r["count"] for r in sent.groupBy("part").count().collect()]
+    assert len(groups) == 18 * 19 // 2 and max(groups) <= 2.2 * nd.LIST_BLOCK and sum(groups) == 18 * n
+    prints.unpersist()
+
+
 SCORES = "query_id bigint, chunk_id string, score double, text_score double, match_type string, served_at int, n string, points string"
 
 
-def test_borda(spark):
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_borda(spark, monkeypatch, hot):
+    monkeypatch.setattr(rank_fusion, "HOT_ROWS", hot)  # every query by ranges, or none
     nan = float("nan")
     data = [
         (1, "a", 0.9, 1e9, "exact_substring", 1), (1, "b", 0.8, 5.0, "Exact_Substring", 1), (1, "c", 0.8, None, None, 1), (1, "d", nan, 7.0, "fuzzy", 1), (1, "d", 0.1, 7.0, "fuzzy", 0),
