@@ -93,6 +93,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_corpus.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip: what the ids of every text decode to."""
+    out = tokenize_corpus.decode_ids(tokenize_corpus.encode_texts(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.md5("text").alias("digest"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_containers.pack(table(spark, sf_dir, "documents"))
 
@@ -110,7 +116,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clean, p3_chunk_clean, p4_found, p4_sentences, p4_chunk_sentences, p5_found, p5_ranking,
-        p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels,
+        p6_found, p6_pieces, p7_ids, p7_texts, p8_containers, p9_found, p9_levels,
     )}
 
 
@@ -139,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
             select query_id, chunk_id, 1.0::double * (n - coalesce(rs + (cs - 1) / 2.0, (n + 1) / 2.0)) + 1.0 * (n - coalesce(rt + (ct - 1) / 2.0, (n + 1) / 2.0))
               + 0.5 * (n - coalesce(rm + (cm - 1) / 2.0, (n + 1) / 2.0)) as points from ranked)
             select query_id, chunk_id, round(points::double, 4) as points, row_number() over (partition by query_id order by points desc, chunk_id) as position from scored""",
+        "p7_texts": "select doc_id, md5(coalesce(text, '')) as digest from documents",
         "p6_found": """select distinct c.chunk_id from chunks c join (select option_id, max(max_chunk_size) as m from chunk_options where max_chunk_size >= 1 group by 1) o
             on c.option_id = o.option_id where length(c.content) > o.m""",
     }

@@ -311,10 +311,14 @@ def _similar(threshold: float):
             keep = []
             for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 p, q = grams(a, x), grams(b, y)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= threshold * (len(p) + len(q) - common))
+                need = math.ceil(round(threshold * (len(p) + len(q)) / (1 + threshold), 9))  # occurrences that make them copies
+                if len(p) > len(q):
+                    p, q = q, p
+                if not 0 < need <= len(p):
+                    keep.append(False)
+                    continue
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)  # the shorter list probes the longer one
+                keep.append(int((q[at] == p).sum()) >= need)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run

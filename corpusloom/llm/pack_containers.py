@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.tokenize_corpus import PATTERN
-from corpusloom.runtime import cut, width
+from corpusloom.runtime import cut, ship, shipped, width
 
 #: Sweeps of the least-squares fit and lengths tried beside each length; both bound the driver's work only.
 SWEEPS, PARTNERS = 12, 10
@@ -30,12 +30,12 @@ SWEEPS, PARTNERS = 12, 10
 
 def token_counts(df: DataFrame, key: str, text: str, ranks: str | None = None) -> DataFrame:
     """Columns key, tokens: the number of tokens of each text under the vocabulary's rank file."""
-    path = ranks or os.environ.get("CORPUSLOOM_BYTE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    name = ship(df.sparkSession, ranks or os.environ.get("CORPUSLOOM_BYTE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(shipped(name), "rb"))}
         count = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         for batch in batches:
             sizes = [len(count(t.as_py())) if t.is_valid else 0 for t in batch.column(1)]

@@ -3,11 +3,11 @@
 An item longer than its limit is cut into pieces of at most ``chunk_size`` characters; each piece but the first starts
 ``chunk_overlap`` characters before the end of the one before it, so the pieces without their overlaps are the item
 again.  From every position the farthest legal end of a next piece is looked up (structural boundary, else paragraph,
-sentence, line or word end in the second half of the window, else the full size), which makes a successor table; the
+sentence, line or word end in the second half of the window, else the last of any kind before, else the full size), which makes a successor table; the
 table is squared until it spans the longest item, and the cuts reached from each item's start are read off it.
 
 Defined cases: items at or under the limit, null contents and items whose option is unknown or has no limit give no
-pieces; unusable option values are read as chunk_size = limit, overlap = 0, and an overlap above half the size as half
+pieces; a very long item needs about a dozen 8-byte numbers per character in one task; unusable option values are read as chunk_size = limit, overlap = 0, and an overlap above half the size as half
 the size; repeated rows count once (the latest); boundaries outside the item are ignored; an empty table gives none.
 """
 
@@ -56,14 +56,16 @@ def cut_positions(texts: list[str], size: np.ndarray, overlap: np.ndarray, marks
     limit = start + size[item]
     last = np.minimum(limit, end[item])
     least = np.maximum(place, start + size[item] // 2)
-    jump = np.where(limit >= end[item], end[item], last)
+    any_place = np.maximum.accumulate(np.where(word | line | sentence | paragraph | structural, place, 0))[last]
+    jump = np.where(limit >= end[item], end[item], np.where(any_place > place, any_place, last))
     for natural in (word, line, sentence, paragraph, structural):  # the strongest comes last and wins
         latest = np.maximum.accumulate(np.where(natural, place, 0))[last]
         jump = np.where((limit < end[item]) & (latest > least), latest, jump)
     first = base.copy()  # the first piece has no overlap
     reach = base + size
     for k in np.flatnonzero(reach < end):
-        first[k] = reach[k]
+        early = np.flatnonzero((word | line | sentence | paragraph | structural)[base[k] + 1 : reach[k] + 1])
+        first[k] = base[k] + 1 + early[-1] if len(early) else reach[k]
         for natural in (structural, paragraph, sentence, line, word):
             found = np.flatnonzero(natural[base[k] + size[k] // 2 + 1 : reach[k] + 1])
             if len(found):

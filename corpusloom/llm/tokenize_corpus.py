@@ -18,14 +18,14 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import text_slices
+from corpusloom.runtime import ship, shipped, text_slices
 
 #: Public split pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,6 +98,9 @@ class Encoder:
         })
         self.db.register("merge_rows", table)
         self.db.execute("create table merges as select * from merge_rows")
+        spellings = pa.table({"id": pa.array([ids[t] for t in ids if all(c in letters for c in t)], pa.int32()), "bytes": pa.array([bytes(letters[c] for c in t).hex() for t in ids if all(c in letters for c in t)])})
+        self.db.register("spelled", spellings)
+        self.db.execute("create table vocabulary as select * from spelled")
         self.words: dict[str, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
@@ -199,6 +202,20 @@ class Encoder:
         return out
 
 
+    def decode(self, lists: list[list[int] | None]) -> list[str | None]:
+        """The text of each list of ids: tokens join the vocabulary, an ordered aggregation puts their bytes together."""
+        known = [k for k, ids in enumerate(lists) if ids]
+        sizes = np.array([len(lists[k]) for k in known], np.int64)
+        ids = np.fromiter(chain.from_iterable(lists[k] for k in known), np.int32, int(sizes.sum()))
+        self.db.register("coded", pa.table({"text": np.repeat(np.array(known, np.int64), sizes), "pos": np.arange(len(ids)), "id": ids}))
+        got = self.db.sql("select text, string_agg(bytes, '' order by pos) as bytes, count(*) as n, count(bytes) as known from coded left join vocabulary using (id) group by text").fetchall()
+        self.db.unregister("coded")
+        out: list[str | None] = [None if ids is None else "" for ids in lists]
+        for text, joined, n, spelled in got:
+            out[text] = bytes.fromhex(joined).decode("utf-8", "replace") if spelled == n else None
+        return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -211,10 +228,10 @@ def encoder(vocabulary: str) -> Encoder:
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Columns ``key`` and ``ids`` (array of int), one row per row of ``df``."""
-    path = vocabulary or default_vocabulary()
+    name = ship(df.sparkSession, vocabulary or default_vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shipped(name))
         for whole in batches:
             for batch in text_slices(whole, 1):
                 coded = enc.encode(batch.column(1).to_pylist())
@@ -226,3 +243,19 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     kind = df.schema[key].dataType.simpleString()
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>")
     return out.select(F.col("key").alias(key), "ids")
+
+
+def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """Columns ``key`` and ``text``: the inverse of :func:`encode_texts`.  Null ids give null, none an empty text, and an id
+    that the vocabulary lacks makes the text null."""
+    name = ship(df.sparkSession, vocabulary or default_vocabulary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(shipped(name))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.decode(batch.column(1).to_pylist()), pa.string())], names=["key", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

@@ -271,7 +271,8 @@ def brute_cuts(text, size, lap, marks):
             end = len(text)
         else:
             window = [p for p in range(max(end, start + size // 2) + 1, limit + 1) if grades[p]]
-            end = max(window, key=lambda p: (grades[p], p)) if window else limit
+            before = [p for p in range(end + 1, limit + 1) if grades[p]]
+            end = max(window, key=lambda p: (grades[p], p)) if window else max(before, default=limit)
         cuts.append(end)
         start = end - lap
     return cuts

@@ -254,3 +254,24 @@ def test_marks_in_any_case_and_unclosed_ones():
     for opening in ("<!-- ", "<script> ", "<pre> ", "<a> ", "\\begin{verbatim} ", "\\( ", "\\[ ", "''a ", "<h1> ", "{| ", "**a "):
         markup.convert(opening * 40_000)
     assert time.time() - began < 20
+
+
+def test_the_fit_saves_containers(monkeypatch):
+    """Equal numbers of lengths 5, 4 and 3 fill containers of 12 without a gap; largest first would pair the fives."""
+    histogram = {5: 600, 4: 600, 3: 600}
+    fitted = sum(n for _, n in pack_containers.plan(histogram, 12))
+    monkeypatch.setattr(pack_containers, "SWEEPS", 0)
+    greedy = sum(n for _, n in pack_containers.plan(histogram, 12))
+    assert fitted <= 605 and greedy >= 650
+
+
+@needs_vocabulary
+def test_decoding_is_the_inverse(spark):
+    texts = ["Plain words, 12.5 %", "", None, "naïve 日本語 ไทย हिन्दी 😀\x00\t\n", "<|endoftext|> </s>", " " * 7, "a" * 300]
+    rows = docs(spark, texts)
+    coded = tokenize_corpus.encode_texts(rows)
+    got = {r["doc_id"]: r["text"] for r in tokenize_corpus.decode_ids(coded).collect()}
+    assert [got[i] for i in range(len(texts))] == [t or "" for t in texts]
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [70000]), (4, [262])], "doc_id bigint, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in tokenize_corpus.decode_ids(odd).collect()} == {1: None, 2: "", 3: None, 4: " the"}
+    assert tokenize_corpus.decode_ids(odd.limit(0)).count() == 0
