@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import content, hierarchy, search
+from corpusloom.operators.ann import VectorIndex
 from corpusloom.operators.chunking import chunk_documents
 from corpusloom.operators.structure import boundary_rows, detect
 from corpusloom.operators.vectors import hash_embedding, with_neighbours
@@ -34,14 +35,20 @@ def ingest(store: Store, docs: DataFrame, options: ChunkOptions | None = None) -
 class Engine:
     """Requests by name with plain arguments; :meth:`call` validates and answers in JSON.
 
-    ``embed`` turns a query into a vector of the index's space; the default is the hashing embedder of the ingest.
+    ``embed`` turns a query into a vector of the index's space; the default is the hashing embedder of the ingest.  With
+    ``ann`` a search reads only the nearest ``probes`` lists of that vector index (built from the store's vectors by
+    :meth:`index_vectors`) instead of all vectors.
     """
 
-    def __init__(self, spark: SparkSession, index: str | None = None, root: str | None = None, embed: Callable[[str], list[float]] | None = None) -> None:
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, index: str | None = None, root: str | None = None, embed: Callable[[str], list[float]] | None = None, ann: VectorIndex | None = None, probes: int = 16) -> None:
+        self.spark, self.root, self.ann, self.probes = spark, root, ann, probes
         self.store = Store(spark, files.index_dir(index))
         self.embed = embed or (lambda q: spark.range(1).select(hash_embedding(F.lit(q)).alias("v")).first()["v"])
 
+    def index_vectors(self, path: str) -> None:
+        """Build the approximate index over all vectors stored so far and search it from now on."""
+        self.ann = VectorIndex.build(self.store.read("vectors"), path)
+
     def call(self, request: str, arguments: dict) -> str:
         return respond(lambda: getattr(self, request)(**validate(request, arguments)))
 
@@ -61,7 +68,10 @@ class Engine:
     def doc_search(self, query: str, sources=None, top_k=5, include_context=True, expand_to_boundary=None, max_return_tokens=4096, include_siblings=False) -> dict:
         params = SearchParams(query, tuple(sources) if sources else None, top_k, include_context, expand_to_boundary, max_return_tokens, include_siblings)
         chunks, vectors = self.store.read("chunks"), self.store.read("vectors")
-        ranked = search.hybrid_search(chunks, vectors, list(self.embed(query)), params, self.store.read("words"))
+        vector = list(self.embed(query))
+        if self.ann is not None:
+            vectors = self.ann.pool(vector, self.probes)
+        ranked = search.hybrid_search(chunks, vectors, vector, params, self.store.read("words"))
         if not expand_to_boundary:
             rows = search.within_budget(ranked, max_return_tokens).orderBy(F.desc("score"), "chunk_id").collect()  # at most top_k
             total = max((r["total_tokens"] for r in rows), default=0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tables as tab
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, content, hierarchy, search, structure, vectors
+from corpusloom.operators import ann, chunking, content, hierarchy, search, structure, vectors
 from corpusloom.plans import corpus, planted
 from corpusloom.runtime import table
 from corpusloom.schema import ChunkOptions, SearchParams
@@ -177,6 +177,13 @@ def knn_per_source(spark, d):
     return out.select("chunk_id", "source", F.round("semantic_score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def knn_index(spark, d):
+    """Through the index: stored by lists, read back, all lists probed."""
+    index = ann.VectorIndex.load(spark, ann.VectorIndex.build(_examples(spark, d), planted.folder(spark)).path)
+    out = index.search(corpus.example_vector(spark, d), 10, len(index.centres))
+    return out.select("chunk_id", "source", F.round("semantic_score", 6).alias("score"))
+
+
 def exact_search(spark, d):
     return search.text_search(_chunks(spark, d), QUERY, fuzzy=False).select("chunk_id", F.round("text_score", 6).alias("text_score"), "match_type")
 
@@ -278,7 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         line_offsets, classify_lines, boundary_levels, doc_boundaries, regions, merged_boundaries, boundary_at_offset, page_of_boundary, toc_counts, boundary_ancestors, ancestor_at_section,
         boundary_siblings, chunks_in_boundary, sentence_units, token_counts, doc_chunks, chunk_neighbours, context_snippets, content_by_boundary, content_by_pages,
-        content_by_positions, content_by_title, title_match, knn, knn_one_source, knn_per_source, exact_search, fuzzy_search, token_search, hybrid_merge, hybrid_search,
+        content_by_positions, content_by_title, title_match, knn, knn_one_source, knn_per_source, knn_index, exact_search, fuzzy_search, token_search, hybrid_merge, hybrid_search,
         search_within_budget, expand_boundary, expand_siblings, markdown_rows, csv_rows, row_groups, read_truncated, source_names, list_sources, chunk_json, hash_embeddings, event_windows,
     )} | planted.queries()
 
@@ -529,6 +536,7 @@ def oracle_sql() -> dict[str, str]:
         "content_by_pages": f"with {CHUNKS}, items as (select doc_id, position, content, token_count from rows where page between 1 and 3), {_budget('doc_id', 'items')}",
         "content_by_positions": f"with {CHUNKS}, items as (select source, position, content, token_count from rows where position between 2 and 6), {_budget('source', 'items')}",
         "knn": f"with {EXAMPLE} select chunk_id, source, round(score, 6) as score from ({near} {examples}) order by score desc, chunk_id limit 10",
+        "knn_index": f"with {EXAMPLE} select chunk_id, source, round(score, 6) as score from ({near} {examples}) order by score desc, chunk_id limit 10",
         "knn_one_source": f"with {EXAMPLE}, near as ({near} {examples} where source = '1') select chunk_id, round(score, 6) as score from (select * from near order by score desc, chunk_id limit 10)",
         "knn_per_source": f"with {EXAMPLE} select chunk_id, source, round(score, 6) as score, rank from (select *, {ranked} as rank from ({near} {examples})) where rank <= 10",
         "exact_search": f"with {CHUNKS} select chunk_id, round({cover}, 6) as text_score, 'exact_substring' as match_type from rows where contains(lower(content), '{QUERY}')",

@@ -146,3 +146,28 @@ def test_expand(store):
     assert search.expand(free, chunks, bounds, KEYS, "section", 1000).first()["expanded_content"] is None
     rows = chunks.withColumn("score", F.lit(1.0) - F.col("position") * 0.01)
     assert search.within_budget(rows, 31).count() == 3
+
+
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    from corpusloom.operators.ann import VectorIndex
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32))
+    points = np.concatenate([c + 0.35 * rng.standard_normal((60, 32)) for c in centres]).astype(np.float32)
+    rows = [(f"c{i:05}", f"s{i % 7}", p.tolist()) for i, p in enumerate(points)] + [("n", "s0", None), ("z", "s0", [0.0] * 32), ("x", "s0", [float("nan")] * 32), ("l", "s0", [1.0])]
+    df = spark.createDataFrame(rows, "chunk_id string, source string, embedding array<float>")
+    index = VectorIndex.load(spark, VectorIndex.build(df, str(tmp_path / "ann")).path)
+    assert len(index.centres) == 49 and index.pool(points[0].tolist(), 49).count() == len(points)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(points), 240):
+        got = {r["chunk_id"] for r in index.search(points[i].tolist(), 10, 6).collect()}
+        hits += len(got & {f"c{j:05}" for j in np.argsort(-(unit @ unit[i]))[:10]})
+    assert hits >= 0.9 * 10 * len(range(0, len(points), 240))
+    files = index.pool(points[0].tolist(), 3).inputFiles()
+    exact = [r["chunk_id"] for r in vectors.nearest(df, points[5].tolist(), 10).collect()]
+    assert [r["chunk_id"] for r in index.search(points[5].tolist(), 10, 49).collect()] == exact and files
+    empty = VectorIndex.build(df.limit(0), str(tmp_path / "none"))
+    assert VectorIndex.load(spark, empty.path).search([1.0] * 32).count() == 0
