@@ -40,7 +40,9 @@ def fuzzy_scores(chunks: DataFrame, query: str, words_of: DataFrame | None = Non
     n = sum(tokens.values())
     spark = chunks.sparkSession
     asked = spark.createDataFrame([(t, c) for t, c in tokens.items()] or [("", 0)], "asked string, times int").where("times > 0")
-    held = words_of if words_of is not None else chunks.select("chunk_id", F.explode_outer(F.array_distinct(words(F.col("content")))).alias("word")).where("word is not null")
+    held = words_of
+    if held is None:  # read twice below, so the contents are taken apart once
+        held = cut(chunks.select("chunk_id", F.explode_outer(F.array_distinct(words(F.col("content")))).alias("word")).where("word is not null"))
     pairs = held.select("word").distinct().join(F.broadcast(asked), could_match(F.col("asked"), F.col("word")))  # the query's tokens: at most 10,000 characters by validation
     alike = cut(pairs.where((F.col("asked") == F.col("word")) | (similarity_ratio("asked", "word") >= ALIKE)))
     matched = held.join(F.broadcast(alike) if alike.count() <= FEW else alike, "word").select("chunk_id", "asked", "times").distinct()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import os
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,21 +19,24 @@ from corpusloom.runtime import ship, shipped
 DIMENSION = 384
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def semantic_score(embedding: Column, query: list[float]) -> Column:
-    """(1 + cosine) / 2; null for null, zero, non-finite vectors and those of another length."""
-    size = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
-    q = F.array(*[F.lit(float(x) / size) for x in query])
-    length = norm(embedding)
-    usable = (F.size(embedding) == len(query)) & (length > 0) & (length < float("inf"))
-    return F.when(usable, (F.lit(1.0) + dot(embedding, q) / length) / 2)
+    """(1 + cosine) / 2; null for null, zero, non-finite vectors and those of another length.  Whole Arrow batches are
+    multiplied at once; folding an array natively is interpreted element by element."""
+    asked = np.array(query, np.float64)
+    asked /= np.linalg.norm(asked) or 1.0
+
+    @F.arrow_udf(T.DoubleType())
+    def score(rows: pa.Array) -> pa.Array:
+        out = np.full(len(rows), np.nan)
+        fitting = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(rows), len(asked)), False).to_numpy(zero_copy_only=False))
+        if len(fitting) and len(asked):
+            v = rows.take(pa.array(fitting)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(asked))
+            lengths = np.sqrt((v * v).sum(1))  # row by row, so that equal vectors have equal scores wherever they lie
+            with np.errstate(all="ignore"):
+                out[fitting] = np.where((lengths > 0) & np.isfinite(lengths), (1 + (v * asked).sum(1) / lengths) / 2, np.nan)
+        return pa.array(out, mask=np.isnan(out))
+
+    return score(embedding)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = 5, source: str | None = None) -> DataFrame:
