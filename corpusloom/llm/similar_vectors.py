@@ -367,7 +367,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 6
 
     hot, visits = _crowded(reps, hasher, size, total)
     parts = max(width(spark), -(-visits // ENTRIES))
-    pairs = (
+    pairs = cut(  # read twice below
         _entries(reps, hasher, size, hot, parts)
         .repartitionById(parts, F.col("part"))
         .mapInArrow(_candidates(size, k, least), "a bigint, b bigint, cosine double")
