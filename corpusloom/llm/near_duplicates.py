@@ -354,7 +354,8 @@ def copy_links(df: DataFrame, key: str = "chunk_id", text: str = "content", leas
 def copy_pairs(df: DataFrame, key: str = "chunk_id", text: str = "content", least: int = 400, threshold: float = 0.6) -> DataFrame:
     """All pairs of different keys that are copies up to edits, the smaller key (byte by byte) first."""
     members, links = copy_links(df, key, text, least, threshold)
-    links = links.union(links.select("class_b", "class_a"))
+    either = F.explode(F.array(F.struct("class_a", "class_b"), F.struct(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"))))
+    links = links.select(either.alias("l")).select("l.*")  # both directions without working the links out twice
     classes = members.groupBy("copy_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("copy_class")
     alike = links.union(classes.select("copy_class", "copy_class"))
     a = members.select(F.col("id").alias(f"{key}_a"), F.col("copy_class").alias("class_a"))
