@@ -9,6 +9,12 @@ together in one task, with their full coordinates: of every bucket a visitor tak
 and the k best of all buckets are its neighbours, both directions of a pair counting.  The buckets are dealt to as many
 tasks as keep ``ENTRIES`` visits each, and a vector goes once to a task, whatever number of its buckets lie there.
 
+The copies of a vector that go to tasks are many times the table, so the tasks are run in rounds: a round has some of the
+tables, or a share of one table's buckets, and as many of them as let its copies take one and a half times the disk of the
+vectors themselves (``ROUND_BYTES`` at least).  Every bucket is in one round, each round hashes the vectors for its tables again,
+and its shuffle is removed before the next.  Vectors travel and wait in a lossless code: as 16-bit integers where they
+are decimal fractions of up to six digits, else as they are.
+
 A bucket with more than ``MEMBERS`` stored vectors or visits is cut into blocks of both: every block of stored vectors
 meets every block of visitors in a group of its own, so no group holds more than about two blocks and nothing is dropped.
 Vectors with the same coordinates are one class; their members are written out at the end, at most k + 1 of a class per
@@ -27,20 +33,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import cut, width
+from corpusloom.runtime import Scratch, cut, width
 
 TABLES, CELL, SEED = 6, 2.0, 20_011
 #: Chance that two unrelated vectors share a cell of one projection at this width; gives M from the wanted occupancy.
 SHARED, OCCUPANCY = 0.486, 1200
 MEMBERS, HOT_KEYS = 4096, 50_000
 #: Visits dealt to one task; more than the error of a cosine of 64 coordinates in single precision (66 * 2^-24).
-ENTRIES, SLACK = 2_000_000, 1e-5
+ENTRIES, SLACK = 1_000_000, 1e-5
+#: Disk for the copies of a round, in any case and times the vectors; bytes of a row of them besides its vector and visits.
+ROUND_BYTES, ROUND_SHARE, ROW_BYTES = 400_000_000, 1.5, 24
 #: Rows of the blocks that :func:`nearest` compares at once, and queries in one matrix; digits that tell cosines apart.
 QUERY_BLOCK, STORED_BLOCK, QUERY_SLICE, DIGITS = 16_384, 8_192, 512, 12
 
@@ -81,35 +90,104 @@ class Hasher:
         self.salts = rng.integers(1, 2**63, TABLES, dtype=np.uint64)
         self.probes = probes(self.m, self.m + 2)
 
-    def _names(self, cells: np.ndarray) -> np.ndarray:
-        mixed = (cells.astype(np.int64).astype(np.uint64) * self.mixers).sum(2, dtype=np.uint64) + self.salts
-        mixed ^= mixed >> np.uint64(31)
-        return (mixed * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
-
-    def home(self, unit: np.ndarray) -> np.ndarray:
-        """Own buckets, one column per table."""
-        at = (unit @ self.directions + self.shifts) / CELL
-        return self._names(np.floor(at).reshape(-1, TABLES, self.m))
-
-    def visits(self, unit: np.ndarray) -> np.ndarray:
-        """Perturbed buckets (vectors, tables, probes)."""
-        at = ((unit @ self.directions + self.shifts) / CELL).reshape(-1, TABLES, self.m)
+    def names(self, unit: np.ndarray, tables: range = range(TABLES)) -> tuple[np.ndarray, np.ndarray]:
+        """Own buckets (vectors, tables) and perturbed ones (vectors, tables, probes)."""
+        own = slice(tables.start * self.m, tables.stop * self.m)
+        at = ((unit @ self.directions[:, own] + self.shifts[own]) / CELL).reshape(-1, len(tables), self.m)
         cell = np.floor(at)
         below = at - cell
         order = np.argsort(np.concatenate([below, 1 - below], 2), axis=2)  # borders, nearest first
-        out = []
-        for places in self.probes:
-            moved = cell.copy()
-            for p in places:
-                border = order[:, :, p]
-                axis, step = border % self.m, np.where(border < self.m, -1.0, 1.0)
-                np.put_along_axis(moved, axis[..., None], np.take_along_axis(moved, axis[..., None], 2) + step[..., None], 2)
-            out.append(self._names(moved))
-        return np.stack(out, 2)
+        mixers = self.mixers[tables.start : tables.stop]
+        home = (cell.astype(np.int64).astype(np.uint64) * mixers).sum(2, dtype=np.uint64) + self.salts[tables.start : tables.stop]
+        across = np.concatenate([-mixers, mixers], 1)  # what a step across each border adds
+        steps = across[np.arange(len(tables))[None, :, None], order]
+        visits = np.stack([home + sum(steps[:, :, p] for p in places) for places in self.probes], 2)
+        return self._mixed(home), self._mixed(visits)
+
+    @staticmethod
+    def _mixed(names: np.ndarray) -> np.ndarray:
+        names = names ^ (names >> np.uint64(31))
+        return (names * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+
+
+#: First byte of a coded vector: its decimal digits, or RAW; with DOUBLE added if the numbers are doubles.
+RAW, DOUBLE, DECIMALS = 15, 16, range(7)
+
+
+def pack(v: np.ndarray) -> pa.Array:
+    """Vectors without loss of a digit: a byte for the code, then the lower and the upper bytes of decimal integers, or the numbers."""
+    n, size = v.shape
+    codes = np.full(n, RAW, np.uint8)
+    whole = np.zeros((n, size), np.int16)
+    rest = np.arange(n)
+    for digits in DECIMALS:
+        for some in (slice(0, 4), slice(0, size)):  # most that fail do so in the first numbers
+            scaled = np.rint(v[rest, some].astype(np.float64) * 10.0**digits)
+            fits = ((np.abs(scaled) < 2**15) & ((scaled / 10.0**digits).astype(v.dtype) == v[rest, some])).all(1)
+            if some.stop == size:
+                codes[rest[fits]], whole[rest[fits]] = digits, scaled[fits].astype(np.int16)
+                rest = np.setdiff1d(rest, rest[fits])
+            elif not fits.any():
+                break
+    lengths = np.where(codes == RAW, 1 + size * v.itemsize, 1 + 2 * size)
+    offsets = np.append(0, np.cumsum(lengths))
+    data = np.empty(offsets[-1], np.uint8)
+    data[offsets[:-1]] = codes + (DOUBLE if v.itemsize == 8 else 0)
+    planes = np.concatenate([(whole & 255).astype(np.uint8), (whole >> 8).astype(np.uint8)], 1)
+    for rows, payload in ((np.flatnonzero(codes != RAW), planes), (np.flatnonzero(codes == RAW), np.ascontiguousarray(v).view(np.uint8).reshape(n, size * v.itemsize))):
+        if len(rows):
+            data[offsets[rows, None] + 1 + np.arange(payload.shape[1])] = payload[rows]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0, and bytes of a binary column."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return offsets.astype(np.int64) - offsets[0], data
+
+
+def unpack(column: pa.Array, size: int) -> np.ndarray:
+    """The vectors that :func:`pack` has coded."""
+    offsets, data = _bytes(column)
+    codes = data[offsets[:-1]]
+    out = np.empty((len(codes), size), np.float64 if (codes >= DOUBLE).any() else np.float32)
+    for code in np.unique(codes).tolist():
+        rows, kind = np.flatnonzero(codes == code), np.dtype(np.float64 if code >= DOUBLE else np.float32)
+        digits = code % DOUBLE
+        long = size * (kind.itemsize if digits == RAW else 2)
+        if len(rows) == len(codes):
+            payload = data.reshape(-1, 1 + long)[:, 1:]
+        else:
+            payload = data[offsets[rows, None] + 1 + np.arange(long)]
+        if digits == RAW:
+            out[rows] = np.ascontiguousarray(payload).view(kind)
+        else:
+            whole = payload[:, :size].astype(np.int16) | payload[:, size:].astype(np.int16) << 8
+            out[rows] = (whole / 10.0**digits).astype(kind)
+    return out
+
+
+def _coded(size: int):
+    """Rows (id, h1, h2, v) with v coded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                v = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pack(v)], names=["id", "h1", "h2", "v"])
+
+    return run
 
 
 def _units(batch: pa.RecordBatch, column: int, size: int) -> np.ndarray:
-    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    held = batch.column(column)
+    if pa.types.is_binary(held.type) or pa.types.is_large_binary(held.type):
+        flat = unpack(held, size).astype(np.float64)
+    else:
+        flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -123,6 +201,15 @@ def _spread(ids: np.ndarray, seed: int) -> np.ndarray:
 STORED, VISITS = np.uint64(1), np.uint64(2)
 
 
+def _numbers(name: np.ndarray, block: np.ndarray | int = 0) -> np.ndarray:
+    """Numbers of groups, by bucket and block; without the roles."""
+    group = name.astype(np.uint64) + np.asarray(block).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    group ^= group >> np.uint64(29)
+    group *= np.uint64(0xBF58476D1CE4E5B9)
+    group ^= group >> np.uint64(32)
+    return group
+
+
 def _groups(ids: np.ndarray, row: np.ndarray, name: np.ndarray, home: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(row, group with roles) of bucket entries.  Every entry visits, home entries are stored as well.
 
@@ -147,36 +234,51 @@ def _groups(ids: np.ndarray, row: np.ndarray, name: np.ndarray, home: np.ndarray
     stored, to_across = stored[other], to_across[other]
     entry = np.concatenate([visitors, stored])
     block = np.concatenate([to_down * across[visitors] + own_across[visitors], own_down[stored] * across[stored] + to_across])
-    group = name[entry].astype(np.uint64) + block.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    group ^= group >> np.uint64(29)
-    group *= np.uint64(0xBF58476D1CE4E5B9)
-    group ^= group >> np.uint64(32)
+    group = _numbers(name[entry], block)
     both = np.where(home[visitors] & (to_down == own_down[visitors]), VISITS | STORED, VISITS)
     role = np.concatenate([both, np.full(len(stored), STORED)])
     return row[entry], group & np.uint64(0xFFFFFFFFFFFFFFFC) | role
 
 
-def _bucket_names(hasher: Hasher, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket_names(hasher: Hasher, unit: np.ndarray, tables: range = range(TABLES)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and whether it is the home one, of all buckets that some vectors look into."""
-    home, visits = hasher.home(unit), hasher.visits(unit)
+    home, visits = hasher.names(unit, tables)
     n = len(unit)
-    row = np.concatenate([np.repeat(np.arange(n), TABLES), np.repeat(np.arange(n), visits.shape[1] * visits.shape[2])])
+    row = np.concatenate([np.repeat(np.arange(n), len(tables)), np.repeat(np.arange(n), visits.shape[1] * visits.shape[2])])
     return row, np.concatenate([home.ravel(), visits.ravel()]), np.arange(home.size + visits.size) < home.size
 
 
-def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """Rows (part, id, visits, v): a vector and its groups, of those that are dealt to one task, with its roles in them."""
+def _entries(
+    vectors: DataFrame, hasher: Hasher, size: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray], parts: int, tables: range = range(TABLES), turn: range | None = None
+) -> DataFrame:
+    """Rows (part, id, visits, v): a vector and its groups, of those that are dealt to one task, with its roles in them.
+
+    Of the groups of ``tables``, dealt to ``parts`` tasks, those of the tasks in ``turn``, which are numbered from 0.
+    """
+    turn = range(parts) if turn is None else turn
+
+    def place(group: np.ndarray) -> np.ndarray:
+        return ((group >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) - turn.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
                 ids, n = batch.column(0).to_numpy(), batch.num_rows
-                row, group = _groups(ids, *_bucket_names(hasher, _units(batch, 1, size)), hot)
-                target = ((group >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * n + row
+                row, name, home = _bucket_names(hasher, _units(batch, 1, size), tables)
+                if len(turn) < parts:  # most entries belong to other rounds; only those of crowded buckets aren't known by the bucket
+                    part = place(_numbers(name))
+                    some = np.flatnonzero((part >= 0) & (part < len(turn)) | np.isin(name, hot[0]))
+                    row, name, home = row[some], name[some], home[some]
+                row, group = _groups(ids, row, name, home, hot)
+                part = place(group)
+                if len(turn) < parts:
+                    mine = np.flatnonzero((part >= 0) & (part < len(turn)))
+                    part, row, group = part[mine], row[mine], group[mine]
+                target = part * n + row
                 order = np.argsort(target, kind="stable")
                 target, group = target[order], np.ascontiguousarray(group[order])
-                heads = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+                heads = np.flatnonzero(np.append(True, target[1:] != target[:-1])[: len(target)])
                 offsets = (np.append(heads, len(group)) * 8).astype(np.int32)
                 lists = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(group)])
                 of = target[heads] % n
@@ -187,6 +289,23 @@ def _entries(vectors: DataFrame, hasher: Hasher, size: int, hot: tuple[np.ndarra
     return vectors.mapInArrow(run, f"part int, id bigint, visits binary, v {vectors.schema['v'].dataType.simpleString()}")
 
 
+def _rounds(total: int, visits: int, weight: float, cores: int) -> tuple[int, list[tuple[range, range]]]:
+    """Tasks that a table's groups are dealt to, and the tables and tasks of each round.
+
+    As few rounds as keep the copies of ``total`` vectors of ``weight`` bytes, with ``visits`` entries in all, within
+    ``ROUND_SHARE`` times the bytes of the vectors or ``ROUND_BYTES``; none has fewer than two tasks for a core, or more
+    entries in one than ``ENTRIES``.
+    """
+    most = max(ROUND_BYTES, ROUND_SHARE * total * weight)
+    for tables, slices in chain(((n, 1) for n in range(TABLES, 1, -1) if TABLES % n == 0), ((1, n) for n in count(1))):
+        held = visits * tables / TABLES / slices
+        tasks = max(2 * cores, math.ceil(held / ENTRIES))
+        copies = total * tasks * -math.expm1(-held / max(total, 1) / tasks)  # a vector goes once to a task
+        if copies * (weight + ROW_BYTES) + 8 * held <= most:
+            break
+    return tasks * slices, [(range(t, t + tables), range(s * tasks, (s + 1) * tasks)) for t in range(0, TABLES, tables) for s in range(slices)]
+
+
 def _candidates(size: int, k: int, least: float):
     """Of each group: for each visitor the ``k`` most similar stored vectors of the least cosine or more."""
 
@@ -215,10 +334,10 @@ def _candidates(size: int, k: int, least: float):
         for batch in batches:
             if batch.num_rows:
                 ids.append(batch.column(1).to_numpy().copy())
-                lists = batch.column(2).to_pylist()
-                counts.append(np.fromiter(map(len, lists), np.int64, len(lists)) // 8)
-                visits.append(np.frombuffer(b"".join(lists), np.uint64))
-                vectors.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).copy())
+                offsets, lists = _bytes(batch.column(2))
+                counts.append(np.diff(offsets) // 8)
+                visits.append(np.frombuffer(lists.tobytes(), np.uint64))
+                vectors.append(unpack(batch.column(3), size))
         if not ids:
             return
         id_, v = np.concatenate(ids), np.concatenate(vectors)
@@ -259,11 +378,18 @@ def _classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFram
     """(keyed: id, v, h1, h2; classes of equal vectors: h1, h2, class, firsts; reps: id, v of a class's smallest id)."""
     same = F.xxhash64("v")
     keyed = cut(vectors.select("id", "v", same.alias("h1"), F.hash("v").alias("h2")))
-    # Classes of equal vectors: the smallest identifiers stand for a class.
+    heads = _heads(keyed, k + 1)
+    return keyed, _firsts(heads), heads.where("place = 1").select("id", "v")
+
+
+def _heads(keyed: DataFrame, most: int) -> DataFrame:
+    """Of every class of equal vectors the ``most`` smallest identifiers, which stand for it."""
     by_class = Window.partitionBy("h1", "h2").orderBy("id")
-    heads = keyed.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1)
-    classes = heads.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("firsts"))
-    return keyed, classes, heads.where("place = 1").select("id", "v")
+    return keyed.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= most)
+
+
+def _firsts(heads: DataFrame) -> DataFrame:
+    return heads.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("firsts"))
 
 
 def _members(own: DataFrame, classes: DataFrame, scored: DataFrame, k: int) -> DataFrame:
@@ -361,22 +487,27 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, size: int = 6
     ``vectors`` has the columns id and v of :func:`usable_vectors`.  For neighbours at any distance see :func:`nearest`.
     """
     spark = vectors.sparkSession
-    keyed, classes, reps = _classes(vectors, k)
-    total = keyed.count()
-    hasher = Hasher(size, total)
-
-    hot, visits = _crowded(reps, hasher, size, total)
-    parts = max(width(spark), -(-visits // ENTRIES))
-    pairs = cut(  # read twice below
-        _entries(reps, hasher, size, hot, parts)
-        .repartitionById(parts, F.col("part"))
-        .mapInArrow(_candidates(size, k, least), "a bigint, b bigint, cosine double")
-        .groupBy("a", "b")
-        .agg(F.max("cosine").alias("cosine"))
-    )
-    both = pairs.union(pairs.select("b", "a", "cosine")).toDF("class", "other_class", "cosine")
-    own = keyed.join(classes, ["h1", "h2"]).select("id", "class", "firsts")
-    return _members(own, classes, both, k)
+    with Scratch(spark) as files:
+        hashed = vectors.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v")
+        keyed = files.write(hashed.mapInArrow(_coded(size), "id bigint, h1 bigint, h2 int, v binary"), "keyed")
+        total, weight = keyed.agg(F.count("*"), F.coalesce(F.avg(F.length("v")), F.lit(0.0))).first()
+        keys, reps = files.write(keyed.drop("v"), "keys"), files.write(_heads(keyed, 1).select("id", "v"), "reps")
+        files.drop("keyed")
+        hasher = Hasher(size, total)
+
+        hot, visits = _crowded(reps, hasher, size, total)
+        parts, rounds = _rounds(total, visits, weight, spark.sparkContext.defaultParallelism)
+        for turn, (tables, tasks) in enumerate(rounds):
+            entries = _entries(reps, hasher, size, hot, parts, tables, tasks).repartitionById(len(tasks), F.col("part"))
+            found = files.write(entries.mapInArrow(_candidates(size, k, least), "a bigint, b bigint, cosine double"), f"found/{turn}")
+        files.drop("reps")
+        every = files.read(found, *(f"found/{turn}" for turn in range(len(rounds))))
+        pairs = files.write(every.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "pairs")  # read twice below
+        files.drop("found")
+        both = pairs.union(pairs.select("b", "a", "cosine")).toDF("class", "other_class", "cosine")
+        classes = _firsts(_heads(keys, k + 1))
+        own = keys.join(classes, ["h1", "h2"]).select("id", "class", "firsts")
+        return cut(_members(own, classes, both, k))
 
 
 def _rank_members(listed: DataFrame, k: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Compressed files in the shared folder for the steps of one call; what is left of them goes when the call ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and continue from the files; the shuffles that led to it are removed from the disks."""
+        conf = self.spark.conf
+        before = conf.get(CLEANUP_CONF, None)
+        conf.set(CLEANUP_CONF, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            conf.unset(CLEANUP_CONF) if before is None else conf.set(CLEANUP_CONF, before)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # frees what other queries have left, once the driver has collected their plans
+        return self.read(df, name)
+
+    def read(self, like: DataFrame, *names: str) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(*(f"{self.root}/{name}" for name in names))
+
+    def drop(self, name: str = "") -> None:
+        jvm, path = self.spark.sparkContext._jvm, f"{self.root}/{name}".rstrip("/")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder; Parquet file or folder of Parquet files."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

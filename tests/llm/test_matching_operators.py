@@ -119,6 +119,53 @@ def test_nearest_has_no_floor(spark, monkeypatch):
     assert sv.nearest(usable.limit(0), usable).count() == 0 and sv.nearest(usable, usable.limit(0)).count() == 0
 
 
+def test_vectors_are_coded_without_loss():
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((300, 64))
+    mixed = np.concatenate([np.round(v[:50], 3), v[50:60], np.round(v[60:70], 6), np.zeros((1, 64)), np.full((1, 64), 40_000), np.full((1, 64), 1e30), np.full((1, 64), 1e-30)])
+    for some in (np.round(v, 3), v, rng.permutation(mixed), v[:0]):
+        for kind in (np.float32, np.float64):
+            coded = sv.pack(some.astype(kind))
+            assert sv.unpack(coded, 64).dtype == kind or not len(some)
+            for part in (slice(0, None), slice(len(some) // 3, len(some) // 2)):
+                assert np.array_equal(sv.unpack(coded[part], 64), some.astype(kind)[part])
+    assert sv.pack(np.round(v, 3).astype(np.float32)).nbytes < 0.55 * v.astype(np.float32).nbytes
+
+
+def test_copies_of_a_round_stay_bounded(spark, monkeypatch):
+    """The copies that are on disk at once take a few times what the vectors take, and the rounds together have every entry once."""
+    for name, value in (("ROUND_BYTES", 1), ("ROUND_SHARE", 4), ("OCCUPANCY", 60), ("MEMBERS", 300)):  # small buckets, and some cut into blocks
+        monkeypatch.setattr(sv, name, value)
+    points = np.array(crowds(12, 3, 150, 2000), np.float32)
+    reps = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(sv.pack(points).to_pylist())], "id bigint, v binary").cache()
+    weight = 1 + points[0].nbytes
+    hasher = sv.Hasher(64, len(points))
+    hot, visits = sv._crowded(reps, hasher, 64, len(points))
+    assert len(hot[0])
+    entries = lambda rows: [(r["id"], g) for r in rows for g in np.frombuffer(r["visits"], np.uint64).tolist()]
+    parts, rounds = sv._rounds(len(points), visits, weight, 2)
+    met, sizes = [], []
+    for tables, tasks in rounds:
+        rows = sv._entries(reps, hasher, 64, hot, parts, tables, tasks).collect()
+        sizes.append(sum(len(r["visits"]) + len(r["v"]) + sv.ROW_BYTES for r in rows))
+        assert {r["part"] for r in rows} <= set(range(len(tasks)))
+        met += entries(rows)
+    assert max(sizes) <= 1.5 * 4 * weight * len(points) < sum(sizes) / 3  # buckets aren't of one size
+    assert sorted(met) == sorted(entries(sv._entries(reps, hasher, 64, hot, 4).collect()))
+
+
+def test_rounds_change_no_neighbour(spark, monkeypatch):
+    rows = [(i, p, 1) for i, p in enumerate(crowds(13, 30, 9, 1200))] + [(5000 + i, [0.125] * 64, 1) for i in range(8)]
+    usable = sv.usable_vectors(vectors(spark, rows))
+    once = sorted(map(tuple, sv.neighbours(usable).collect()))
+    monkeypatch.setattr(sv, "ROUND_BYTES", 1)
+    monkeypatch.setattr(sv, "ROUND_SHARE", 4)
+    assert len(sv._rounds(1478, 1478 * 24, 257, 4)[1]) > 1
+    assert sorted(map(tuple, sv.neighbours(usable).collect())) == once and len(once) > 1000
+    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert not [f for f in os.listdir(kept.removeprefix("file://")) if f.startswith("scratch-")]
+
+
 def test_crowd_of_almost_equal_vectors(spark):
     rng = np.random.default_rng(8)
     points = (rng.standard_normal(64) + 0.01 * rng.standard_normal((1500, 64))).astype(np.float32)  # mean cosine 0.9999
